@@ -100,14 +100,19 @@ class LabelModel:
         return self.prior * np.exp(self.log_on[1]) + (1 - self.prior) * np.exp(self.log_off[0])
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, smooth: float = 0.5) -> LabelModel:
-    """votes: (rows, voters) of 0 and 1; start: first guesses of P(toxic). Accuracies by EM, correlations from residuals."""
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, smooth: float = 0.5, rater: tuple[float, float, float] = (0.99, 0.01, 100.0)) -> LabelModel:
+    """votes: (rows, voters) of 0 and 1, the rater's last; start: first guesses of P(toxic).
+
+    Accuracies by EM, correlations from residuals. ``rater``: the prior P(vote | toxic), P(vote | clean) of the human rater
+    and how many rows it counts as, so that a few rows can't make the latent label mean something else.
+    """
     n, m = votes.shape
     post, discount, corr = start.astype(float), np.ones(m), np.eye(m)
     for i in range(rounds):
         mass = np.array([(1 - post).sum(), post.sum()])
         on = np.vstack([(1 - post) @ votes, post @ votes])
         p = (on + smooth * np.array([[0.1], [1.0]])) / (mass[:, None] + smooth * 2)
+        p[:, -1] = (on[:, -1] + rater[2] * np.array([rater[1], rater[0]])) / (mass + rater[2])
         p = np.clip(p, 1e-4, 1 - 1e-4)
         prior = float(np.clip(mass[1] / n, 1e-3, 1 - 1e-3))
         if i % 5 == 4:
@@ -117,6 +122,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, smoo
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
             corr = np.clip(cov / np.outer(sd, sd), -1, 1)
             discount = np.maximum(1.0, (np.clip(corr, 0, 1) ** 2).sum(axis=1))
+            discount[-1] = 1.0
         model = LabelModel(np.log(p), np.log1p(-p), prior, discount, corr)
         post = model.posterior(votes)
     return model
@@ -145,27 +151,31 @@ class ToxicModel:
     voters: tuple[str, ...] = field(default=(), repr=False)
 
 
-def _logistic(sets: list[set[str]], target: np.ndarray, names: list[str], l1: float = 2e-4, rounds: int = 300) -> tuple[float, np.ndarray]:
-    """L1-penalised logistic regression to soft targets by accelerated proximal steps; no penalty on the bias."""
+def _logistic(sets: list[set[str]], target: np.ndarray, names: list[str], l1: float = 3e-5, rounds: int = 600, share: float = 1 / 3) -> tuple[float, np.ndarray]:
+    """L1-penalised logistic regression to soft targets by accelerated proximal steps; no penalty on the bias.
+
+    Rows weigh so that the toxic ones have at least ``share`` of all weight. Each coordinate has its own step: sums of the
+    widths of the rows that have it bound the Hessian from above.
+    """
     at = {t: i for i, t in enumerate(names)}
-    rows, cols = [], []
-    for r, s in enumerate(sets):
-        hit = sorted(at[t] for t in s if t in at)
-        cols.extend(hit)
-        rows.extend([r] * len(hit))
-    rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
+    hits = [sorted(at[t] for t in s if t in at) for s in sets]
+    wide = np.array([len(h) + 1 for h in hits], float)
+    rows = np.repeat(np.arange(len(sets)), [len(h) for h in hits])
+    cols = np.fromiter((c for h in hits for c in h), np.int64, len(rows))
     n, d = len(sets), len(names)
-    width = np.bincount(rows, minlength=n).max(initial=0) + 1
-    step = 4.0 / width
-    w, b = np.zeros(d), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
+    weight = 1 + target * max(0.0, share / (1 - share) * (1 - target).sum() / max(target.sum(), 1e-9) - 1)
+    weight /= weight.sum()
+    bound = np.maximum(np.bincount(cols, (weight * wide)[rows], d) / 4, 1e-9)
+    bound_b = (weight * wide).sum() / 4
+    mean = float(weight @ target)
+    w, b = np.zeros(d), math.log((mean + 1e-3) / (1 - mean + 1e-3))
     v, vb, t = w.copy(), b, 1.0
     for _ in range(rounds):
-        z = vb + np.bincount(rows, v[cols], n) if len(rows) else np.full(n, vb)
-        g = 1 / (1 + np.exp(np.clip(-z, -40, 40))) - target
-        # Rows count n times in the mean; features are sparse, so each coordinate takes a step by its own count.
-        new = v - step * np.bincount(cols, g[rows], d) / n * 8 if len(rows) else v
-        new = np.sign(new) * np.maximum(np.abs(new) - step * l1 * 8, 0)
-        nb = vb - step * g.mean() * 8
+        z = vb + np.bincount(rows, v[cols], n)
+        g = weight * (1 / (1 + np.exp(np.clip(-z, -40, 40))) - target)
+        new = v - np.bincount(cols, g[rows], d) / bound
+        new = np.sign(new) * np.maximum(np.abs(new) - l1 / bound, 0)
+        nb = vb - g.sum() / bound_b
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
         w, b, t = new, nb, t2
@@ -188,7 +198,7 @@ def fit(texts: list[set[str]], toxic: np.ndarray, most_features: int = 2000) ->
     start = np.where(toxic == 1, 0.95, np.where(any_vote, 0.3, 0.02))
     model = fit_label_model(votes, start)
     post = model.posterior(votes)
-    # Features that go with the posterior: by the weight of evidence, presence in at least two rows.
+    # Features that go with the posterior: by the weight of evidence, from presence in three rows on.
     df, on = Counter(), Counter()
     for s, p in zip(texts, post, strict=True):
         df.update(s)
@@ -196,7 +206,7 @@ def fit(texts: list[set[str]], toxic: np.ndarray, most_features: int = 2000) ->
             for t in s:
                 on[t] += p
     base = float(post.mean())
-    gain = {t: (on[t] - c * base) ** 2 / (c * base * (1 - base) + 1e-9) for t, c in df.items() if c >= 2 and on[t] > c * base}
+    gain = {t: (on[t] - c * base) ** 2 / (c * base * (1 - base) + 1e-9) for t, c in df.items() if c >= 3 and on[t] > 3 * c * base}
     names = sorted(sorted(gain, key=lambda t: (-gain[t], t))[:most_features])
     names = sorted({*names, *(t for t in fixed if t in df)})
     b, w = _logistic(texts, post, names)
