@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iso_media, ordinal_quality, packing, raking, robust_quality, weak_toxicity
+from . import hmm_lm, iso_media, ordinal_quality, packing, raking, robust_quality, weak_toxicity
 from .common import documents, remainder
 
 
@@ -17,6 +17,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.score(docs, ordinal_quality.train(docs, grades, 3))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
