@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm_lm, iso_media, ordinal_quality, packing, raking, robust_quality, weak_toxicity
+from . import hmm_lm, iso_media, ngram_jaccard, ordinal_quality, packing, raking, robust_quality, weak_toxicity
 from .common import documents, remainder
 
 
@@ -25,6 +25,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.grouped(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mix(documents(spark, sf_dir))
 
