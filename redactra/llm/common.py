@@ -55,3 +55,8 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, as UTF-8 bytes (bytes methods know ASCII only)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written ``table`` with a broadcast hint if it has at most ``most`` rows, of a bounded width; else as it is."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table

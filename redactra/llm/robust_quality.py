@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, written
+from .common import SPACES, small, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 CORE, STEPS, SMALL = 0.75, 4, 200
@@ -154,7 +154,7 @@ def _factored(moments: DataFrame) -> DataFrame:
 
 def _distances(rows: DataFrame, factored: DataFrame) -> DataFrame:
     """rows plus d2, the squared Mahalanobis distance, by forward substitution."""
-    out = rows.join(factored, "grp", "left")
+    out = rows.join(small(factored), "grp", "left")
     for i, d in enumerate(DIMS):
         rest = F.col(d) - F.col(f"m_{d}")
         for k in range(i):
@@ -171,7 +171,7 @@ def _grouped(q: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = every.filter(F.col("n") < SMALL).groupBy("lang").agg(F.sum("n").alias("n_lang"))
     own = F.concat(F.lit("s:"), F.length("lang").cast("string"), F.lit(":"), "lang", "source")
     grp = F.when(F.col("n") >= SMALL, own).when(F.col("n_lang") >= SMALL, F.concat(F.lit("l:"), "lang")).otherwise("all")
-    names = written(every.join(few, "lang", "left").select("lang", "source", grp.alias("grp")), "groups")
+    names = small(written(every.join(few, "lang", "left").select("lang", "source", grp.alias("grp")), "groups"))
     rows = q.filter(~F.col("base_failed")).join(names, ["lang", "source"]).select("grp", *DIMS)
     return names, rows
 
@@ -187,8 +187,8 @@ def estimate(q: DataFrame, core: float = CORE, steps: int = STEPS) -> tuple[Data
     consistent = core / chi2_cdf(chi2_quantile(core, p), p + 2)
     for _ in range(steps):
         near = _distances(rows, now)
-        cut = near.groupBy("grp").agg(F.percentile_approx("d2", core).alias("cut"))
-        inner = near.join(cut, "grp").filter(F.col("d2") <= F.col("cut"))
+        cut = written(near.groupBy("grp").agg(F.percentile_approx("d2", core).alias("cut")), "mcd")
+        inner = near.join(small(cut), "grp").filter(F.col("d2") <= F.col("cut"))
         now = written(_factored(_moments(inner, consistent)), "mcd")
     inner = _distances(rows, now).filter(F.col("d2") <= chi2_quantile(REWEIGHT, p))
     again = REWEIGHT / chi2_cdf(chi2_quantile(REWEIGHT, p), p + 2)
@@ -203,7 +203,7 @@ def judged(table: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     names, now = estimate(table.select("_q.*"))
     flat = table.select("*", *(F.col(f"_q.{c}").alias(f"_f_{c}") for c in ("lang", "source")))
     named = names.select(F.col("lang").alias("_f_lang"), F.col("source").alias("_f_source"), F.col("grp"))
-    groups = named.join(now, "grp", "left").drop("grp")
+    groups = small(written(named.join(now, "grp", "left").drop("grp"), "groups"))
     out = flat.join(groups, ["_f_lang", "_f_source"], "left")
     z: list[str] = []
     for i, d in enumerate(DIMS):
