@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm_lm, iso_media, ngram_jaccard, ordinal_quality, packing, raking, robust_quality, weak_toxicity
-from .common import documents, remainder
+from . import compaction, hmm_lm, iso_media, ngram_jaccard, ordinal_quality, packing, raking, robust_quality, token_edits, weak_toxicity
+from .common import documents, fresh_path, remainder
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,20 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mix(documents(spark, sf_dir))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_edits.count_edits(token_edits.sample_edits(documents(spark, sf_dir)))
+    return counted.withColumn("after_crc32", F.crc32(F.col("text_after").cast("binary"))).drop("text_after")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_quality.verdicts(documents(spark, sf_dir))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = compaction.ingest(documents(spark, sf_dir), fresh_path(spark, "shards"))
+    return compaction.inventory(store)
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iso_media.digest_rows(documents(spark, sf_dir))
 
