@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactra.llm import packing, raking, robust_quality, weak_toxicity
+from redactra.llm import ngram_jaccard, packing, raking, robust_quality, weak_toxicity
 from redactra.llm.common import documents, remainder, written
 
 
@@ -25,6 +25,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return weak_toxicity.score(docs, model, keep=docs.columns).filter("_predicted = 0").select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each component of five-word shingle sets with similarity 0.8 or more, the first document stays."""
+    return ngram_jaccard.keep_one(docs, 5, 80)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: documents drawn by raked probabilities."""
     return raking.sample(docs)
@@ -35,7 +40,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality), ("toxicity", toxicity), ("mixing", mixture), ("packing", packed)]
+STAGES = [("quality_rules", quality), ("toxicity", toxicity), ("ngram_jaccard_join", near_copies), ("mixing", mixture), ("packing", packed)]
 
 #: Robust estimates, trained models and packings have no SQL form; the pipeline is tested against its operators one by one.
 ORACLE_SQL = None
