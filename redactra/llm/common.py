@@ -52,6 +52,13 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of at most ``rows`` rows, so that a worker holds few texts as Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, as UTF-8 bytes (bytes methods know ASCII only)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -60,3 +67,15 @@ def words(text: str | None) -> list[bytes]:
 def small(table: DataFrame, most: int = 100_000) -> DataFrame:
     """A written ``table`` with a broadcast hint if it has at most ``most`` rows, of a bounded width; else as it is."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def hash_sample(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """The n rows with the smallest hash of ``key``, or all if there are fewer.
+
+    Rows are counted first, so that each task hands on little more than its share of the n.
+    """
+    h = F.xxhash64(*key)
+    total = df.count()
+    share = min(1.0, (n + 6 * n**0.5 + 50) / max(total, 1))
+    few = df if share >= 1 else df.filter(F.shiftrightunsigned(h, 11) < int(share * (1 << 53)))
+    return few.orderBy(F.shiftrightunsigned(h, 11), *key).limit(n)

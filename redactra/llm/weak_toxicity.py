@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .common import hash_sample, slices, written
+
 MAX_ROWS = 12_000
 #: Insults that vote toxic: fixed values.
 LEXICON = """
@@ -136,7 +138,7 @@ def mine(sets: list[set[str]], toxic: np.ndarray, most: int = 300, least: int =
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     found = []
     for t, a in df[1].items():
-        if a >= least:
+        if a >= least and t[0] != "!":
             lift = (a / n1) / ((df[0].get(t, 0) + 0.5) / n0)
             if lift >= ratio:
                 found.append((-a * math.log(lift), t))
@@ -219,20 +221,46 @@ def fit(texts: list[set[str]], toxic: np.ndarray, most_features: int = 2000) ->
 def train(df: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """``ratings``: (id, toxic) of training rows only. At most ``max_rows`` rows' term sets reach the driver."""
     rated = ratings.select(id_col, F.col("toxic").cast("int").alias("toxic")).dropna().groupBy(id_col).agg(F.max("toxic").alias("toxic")).filter(F.col("toxic").isin(0, 1))
-    pick = lambda y, n: rated.filter(F.col("toxic") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
+    pick = lambda y, n: hash_sample(rated.filter(F.col("toxic") == y), n, id_col)
     # At most max_rows rows of two numbers: a proven bound.
     some = F.broadcast(pick(1, max_rows // 3).unionByName(pick(0, max_rows - max_rows // 3)))
-    joined = df.select(id_col, text_col).join(some, id_col).select(id_col, "toxic", text_col)
+    joined = written(df.select(id_col, text_col).join(some, id_col).select("toxic", text_col), "rated")
+    terms_of = _telling(joined)
+    kept = df.sparkSession.sparkContext.broadcast(frozenset(terms_of))
 
     def run(batches):
         find = Patterns()
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            yield pa.record_batch([b.column(1), pa.array([" ".join(sorted(terms(t))) for t in texts]), pa.array([" ".join(sorted(find(t))) for t in texts])], names=["toxic", "words", "found"])
+        for b in slices(batches):
+            texts = b.column(1).to_pylist()
+            yield pa.record_batch([b.column(0), pa.array([" ".join(sorted((term_set(t) & kept.value) | find(t))) for t in texts])], names=["toxic", "terms"])
+
+    got = joined.mapInArrow(run, "toxic int, terms string").toPandas().sort_values(["toxic", "terms"], ignore_index=True)
+    return fit([set(x.split()) for x in got["terms"]], got["toxic"].to_numpy(int))
+
+
+def _telling(rated: DataFrame, least: int = 3, ratio: float = 3.0, most: int = 50_000) -> list[str]:
+    """Terms of the sample that come at least ``ratio`` times as often in toxic rows, and the lexicon: what the fit can use."""
+
+    def run(batches):
+        seen: dict[str, list[int]] = {}
+
+        def out():
+            yield pa.record_batch([pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["term", "clean", "toxic"])
+            seen.clear()
+
+        for b in slices(batches):
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for t in term_set(text):
+                    seen.setdefault(t, [0, 0])[toxic] += 1
+                if len(seen) > 300_000:
+                    yield from out()
+        yield from out()
 
-    got = joined.mapInArrow(run, "toxic int, words string, found string").limit(2 * max_rows).toPandas().sort_values(["toxic", "words"], ignore_index=True)
-    sets = [{p for w in a.split() for p in parts(w)} | set(b.split()) for a, b in zip(got["words"], got["found"], strict=True)]
-    return fit(sets, got["toxic"].to_numpy(int))
+    n = {r[0]: r[1] for r in rated.groupBy("toxic").count().collect()}
+    df = rated.mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    lift = (F.col("toxic") / max(1, n.get(1, 0))) / ((F.col("clean") + 0.5) / max(1, n.get(0, 0)))
+    found = df.filter((F.col("toxic") >= least) & (lift >= ratio)).orderBy(F.desc(F.col("toxic") * F.log(lift)), "term").limit(most).select("term").toPandas()
+    return [*LEXICON, *found["term"]]
 
 
 def scorer(model: ToxicModel, remember: int = 300_000):
@@ -264,7 +292,7 @@ def score(df: DataFrame, model: ToxicModel, threshold: float = 0.7, id_col: str
 
     def run(batches):
         rate = scorer(shared.value)
-        for b in batches:
+        for b in slices(batches):
             s = np.array([rate(t) for t in b.column(0).to_pylist()])
             yield pa.record_batch([*b.columns[1:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=schema.names)
 
