@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import hash_sample, slices, words, written
 
 END = b"\n"  # no word: it is white space
 STATES, ROUNDS = 6, 3
 SYMBOLS, BUCKETS, HEAD = 16_384, 4_096, 131_072
 SEGMENT, BLOCK = 65_536, 400_000
-START_ROWS, START_TOKENS, START_ROUNDS = 1_500, 4_096, 15
+START_ROWS, START_TOKENS, START_ROUNDS = 2_000, 4_096, 25
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ def count_words(df: DataFrame, text_col: str = "text", most: int = 400_000) -> D
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array([got[k] for k in keys], pa.int64())], names=["word", "c"])
             got.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 got.update(words(text))
                 got[END] += 1
@@ -137,7 +137,7 @@ def encode(df: DataFrame, coder: Coder, held_out: Column, id_col: str = "doc_id"
         c = shared.value
         places = _Places(c)
         unit = np.log10(c.total + c.distinct + 1)
-        for b in batches:
+        for b in slices(batches):
             cols: list[list] = [[] for _ in range(7)]
             for text in b.column(2).to_pylist():
                 tokens = words(text)
@@ -262,7 +262,7 @@ def starting(seqs: list[np.ndarray], unigram: np.ndarray, k: int = STATES, round
     gain = lambda d: np.bincount(doc, (np.log(flat(np.bincount(seqs[d], minlength=size)[:, None].astype(float))[:, 0]) - np.log(unigram))[symbols], len(seqs))
     best, seeds = np.zeros(len(seqs)), []
     while len(seeds) < k:
-        tried = [(np.maximum(best, g := gain(d)).sum(), int(d), g) for d in rng.choice(len(seqs), min(12, len(seqs)), replace=False)]
+        tried = [(np.maximum(best, g := gain(d)).sum(), int(d), g) for d in rng.choice(len(seqs), min(24, len(seqs)), replace=False)]
         _, d, g = max(tried, key=lambda x: x[:2])
         seeds.append(d)
         best = np.maximum(best, g)
@@ -289,7 +289,7 @@ def train(encoded: DataFrame, coder: Coder, states: int = STATES, rounds: int =
     unigram[: coder.own] = 10 ** coder.log_count[: coder.own]
     unigram[coder.own :] = 10 ** coder.log_norm[coder.own :]
     unigram /= unigram.sum()
-    few = own.filter(F.col("n_tokens") <= START_TOKENS).orderBy(F.xxhash64("symbols")).select("symbols").limit(START_ROWS).collect()
+    few = hash_sample(own.filter(F.col("n_tokens") <= START_TOKENS).select("symbols"), START_ROWS, "symbols").collect()
     model = starting([np.frombuffer(bytes(x[0]), "<u2") for x in few], unigram, states)
     for _ in range(rounds):
         shared = sc.broadcast(model)
