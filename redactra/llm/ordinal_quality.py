@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import hash_sample, slices, words
 
 BITS, MAX_ROWS = 16, 8000
 _FOLD = bytes.maketrans(b"abcdefghijklmnopqrstuvwxyz123456789", b"a" * 26 + b"0" * 9)
@@ -90,7 +90,7 @@ class Featurizer:
         return np.fromiter(tf, np.int64, len(tf)), np.fromiter(tf.values(), float, len(tf))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, bits: int = BITS, l2: float = 2e-5, rounds: int = 150, rate: float = 0.1) -> OrdinalModel:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, bits: int = BITS, l2: float = 3e-4, rounds: int = 200, rate: float = 0.1) -> OrdinalModel:
     """Maximum likelihood with a ridge on the weights, by Adam on all rows; the same rows give the same model."""
     share = (np.bincount(grades, minlength=n_grades) + 0.5) / (len(grades) + 0.5 * n_grades)
     tail = np.cumsum(share[::-1])[::-1][1:]
@@ -134,13 +134,13 @@ def train(df: DataFrame, ratings: DataFrame, n_grades: int, max_rows: int = MAX_
     """``ratings``: (id, grade), grades from 0. Features are made on the executors; at most ``max_rows`` rows reach the driver."""
     rated = ratings.select(id_col, F.col("grade").cast("int").alias("_grade")).dropna()
     rated = rated.filter(F.col("_grade").between(0, n_grades - 1)).groupBy(id_col).agg(F.max("_grade").alias("_grade"))
-    some = rated.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    some = hash_sample(rated, max_rows, id_col)
     # At most max_rows rows of two numbers: a proven bound.
     joined = df.select(id_col, text_col).join(F.broadcast(some), id_col).select("_grade", text_col)
 
     def run(batches):
         make = Featurizer(bits)
-        for b in batches:
+        for b in slices(batches):
             made = [make(x) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32()))], names=["grade", "idx", "val"])
 
@@ -158,7 +158,7 @@ def score(df: DataFrame, model: OrdinalModel, tail_grade: int = 1, keep_from: fl
     def run(batches):
         m = shared.value
         make = Featurizer(m.bits)
-        for b in batches:
+        for b in slices(batches):
             z = np.array([v @ m.weights[i] for i, v in map(make, b.column(1).to_pylist())])
             tails = m.tails(z)
             tail = tails[:, tail_grade - 1]
