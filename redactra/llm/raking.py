@@ -76,23 +76,23 @@ def _rake_local(cells: pd.DataFrame, targets: dict[str, pd.DataFrame]) -> np.nda
     return factor
 
 
-def _rake_spread(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, every: int = 3) -> DataFrame:
-    """The sweeps as joins, for cell tables beyond the driver's bound; lineage is cut after some sweeps."""
-    now = cells.withColumn("factor", F.lit(1.0))
-    for i in range(sweeps):
-        off = []
+def _rake_spread(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+    """The sweeps as joins, for cell tables beyond the driver's bound; only sums reach the driver, and lineage is cut after each sweep."""
+    now, weight = cells.withColumn("factor", F.lit(1.0)), F.col("tokens") * F.col("factor")
+    for _ in range(sweeps):
+        off = 0.0
         for m in MARGINS:
-            total = now.agg(F.sum(F.col("tokens") * F.col("factor")).alias("all_tokens"))
-            have = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have"))
-            goal = have.filter("have > 0").join(targets[m], m, "left").fillna(0.0, ["share"])
-            step = goal.crossJoin(goal.agg(F.sum("share").alias("all_shares"))).crossJoin(total)  # one row each
-            step = step.select(m, "have", "all_tokens", (F.col("share") / F.col("all_shares") * F.col("all_tokens") / F.col("have")).alias("by"))
-            off.append(step.select(F.abs((F.col("by") - 1) * F.col("have") / F.col("all_tokens")).alias("off")))
-            now = now.join(step.select(m, "by"), m, "left").withColumn("factor", F.col("factor") * F.coalesce("by", F.lit(0.0))).drop("by")
-        if i % every == every - 1:
-            now = written(now, "rake")
-            if (off[0].unionAll(off[1]).unionAll(off[2]).agg(F.max("off")).first()[0] or 0) < TOLERANCE:
-                break
+            have = now.groupBy(m).agg(F.sum(weight).alias("have")).filter("have > 0")
+            goal = written(have.join(targets[m], m, "left").fillna(0.0, ["share"]), "rake")
+            total, shares = goal.agg(F.sum("have"), F.sum("share")).first()
+            if not total or not shares:
+                return now
+            by = F.col("share") / shares * total / F.col("have")
+            off = max(off, goal.agg(F.max(F.abs((by - 1) * F.col("have") / total))).first()[0])
+            now = now.join(goal.select(m, by.alias("by")), m, "left").withColumn("factor", F.col("factor") * F.coalesce("by", F.lit(0.0))).drop("by")
+        now = written(now, "rake")
+        if off < TOLERANCE:
+            break
     return now
 
 
