@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 BLOCK = 64
 #: Bytes of an access unit (a sample in the container's sense), and how many of them follow a keyframe.
 UNIT, KEY_EVERY = 4096, 8
@@ -171,7 +173,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """(id, n_bytes, media): each text's UTF-8 bytes, padded, in a container."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             raw = [(x or "").encode() for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([mux(pad(x)) for x in raw], pa.binary())], names=[id_col, "n_bytes", "media"])
 
@@ -197,7 +199,7 @@ def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Stores each text in a container, reads the container back and returns digests and features of what was read."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             cols: list[list] = [[] for _ in range(8)]
             for text in b.column(1).to_pylist():
                 raw = (text or "").encode()

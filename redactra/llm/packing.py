@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 CAPACITY = 2048
 GROUP_PIECES, ISLANDS, EPOCHS, SETTLE = 4096, 2, 2, 0.98
@@ -82,7 +82,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
 
     def run(batches):
         encode = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             rows: list[list] = [[] for _ in range(6)]
             for at, text in enumerate(b.column(1).to_pylist()):
                 ids = np.array([*encode(text), 0] if text else [0], "<u4")

@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .packing import encoder, tokenizer_path
 
 #: A space after a non-space, and a non-space after a single line break that follows a non-space, begin a segment.
@@ -130,7 +131,7 @@ def count_edits(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 n = seen[s] = len(encode(s))
             return n
 
-        for b in batches:
+        for b in slices(batches):
             cols: list[list] = [[] for _ in range(5)]
             for text, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 tree = SegmentTree(text, count)
