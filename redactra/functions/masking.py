@@ -6,8 +6,11 @@ so a value in full-width digits has another hash than the same one in plain digi
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,8 +28,6 @@ def hmac_sha256(value: Column, salt: bytes) -> Column:
     The salt becomes a literal of the plan and so shows in explain() and event logs of that session; where these are kept,
     use ``hmac_udf``.
     """
-    import hashlib
-
     key = (hashlib.sha256(salt).digest() if len(salt) > 64 else salt).ljust(64, b"\0")
     inner, outer = (F.lit(bytearray(b ^ pad for b in key)) for pad in (0x36, 0x5C))
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(value, "UTF-8")), 256))), 256)
@@ -34,10 +35,6 @@ def hmac_sha256(value: Column, salt: bytes) -> Column:
 
 def hmac_udf(salt: bytes) -> Callable[[Column], Column]:
     """The same by an Arrow function; the salt travels with the function's code and isn't printed in plans."""
-    import hashlib
-    import hmac
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(v: pd.Series) -> pd.Series:

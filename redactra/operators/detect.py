@@ -112,7 +112,7 @@ def limits(df: DataFrame, text_col: str = "text", longest: int = 20_000, most: i
     out = df.withColumn(text_col, F.when(F.coalesce(n, F.lit(0)) <= longest, F.col(text_col)).otherwise(F.raise_error(F.concat(F.lit("text too long: "), n.cast("string"))).cast("string")))
     if batch_col is None:
         return out
-    total = df.groupBy(batch_col).agg(F.sum(n).alias("_total")).select(batch_col, F.when(F.col("_total") <= most, True).otherwise(F.raise_error(F.lit("batch too long")).cast("boolean")).alias("_fits"))
+    total = df.groupBy(batch_col).agg(F.coalesce(F.sum(n), F.lit(0)).alias("_total")).select(batch_col, F.when(F.col("_total") <= most, True).otherwise(F.raise_error(F.lit("batch too long")).cast("boolean")).alias("_fits"))
     return out.join(total, batch_col).filter("_fits").drop("_fits")
 
 

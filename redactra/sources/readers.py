@@ -6,9 +6,11 @@ import json
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spans import SPANS
 from ..operators.dataset import UNIFIED
 from ..operators.reports import RESULT
 
@@ -107,10 +109,6 @@ class HttpDetector:
         raise RuntimeError("the service keeps answering 429")
 
     def spans(self, text):
-        import pandas as pd
-
-        from ..functions.spans import SPANS
-
         @F.pandas_udf(SPANS)
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in parts:
