@@ -94,3 +94,19 @@ def occurrences(text: Column, needle: str, label: str) -> Column:
     n = len(needle)
     places = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0))), lambda i: F.substring(text, i + 1, F.lit(n)) == needle)
     return F.transform(places, lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.lit(label).alias("label")))
+
+
+def scenarios(df: DataFrame, text_col: str = "text", needles_col: str = "needles") -> DataFrame:
+    """``df`` with ``gold``: every place of every needle (value, label), in order; needles that are missing or overlap fail the job."""
+    text = F.col(text_col)
+
+    def places(n: Column) -> Column:
+        last = F.greatest(F.length(text) - F.length(n["value"]), F.lit(0))
+        at = F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, F.length(n["value"])) == n["value"])
+        spans = F.transform(at, lambda i: F.struct(i.alias("start"), (i + F.length(n["value"])).alias("end"), n["label"].alias("label")))
+        return F.when(F.size(at) > 0, spans).otherwise(F.raise_error(F.concat(F.lit("no such text: "), n["label"])).cast(GOLD))
+
+    gold = F.sort_array(F.flatten(F.transform(needles_col, places)))
+    apart = F.forall(F.sequence(F.lit(1), F.size("gold")), lambda i: F.get("gold", i).isNull() | (F.get("gold", i)["start"] >= F.get("gold", i - 1)["end"]))
+    out = df.withColumn("gold", gold)
+    return out.withColumn("gold", F.when(apart, F.col("gold")).otherwise(F.raise_error(F.lit("gold spans overlap")).cast(GOLD)))

@@ -355,3 +355,25 @@ def test_limits(spark):
         D.limits(df, longest=9).collect()
     with pytest.raises(Exception, match="batch too long"):
         D.limits(df, most=15, batch_col="batch").collect()
+
+
+SCENARIOS = [
+    ("particles", "김민수님이 2024년 3월 15일에 010-9876-5432로 전화, hong.gd@example.com으로 답. 김민수", [("김민수", "PERSON"), ("2024년 3월 15일", "DATE"), ("010-9876-5432", "PHONE"), ("hong.gd@example.com", "EMAIL")], {"PHONE", "EMAIL"}),
+    ("card", "카드 5432-1234-5678-9012 로 결제, 주민등록번호 900101-1234567 입니다", [("5432-1234-5678-9012", "CARD_NUMBER")], {"CARD_NUMBER"}),
+    ("numbers only", "결제 금액 1,250,000원, 수량 3개, 펌웨어 v12.4.1, 온도 36.5도", [], set()),
+    ("times", "오전 9시 회의, 처리 시간은 2시간 30분, 2024년형 신제품", [], set()),
+]
+
+
+def test_scenarios(spark):
+    df = spark.createDataFrame([s[:3] for s in SCENARIOS], "id string, text string, needles array<struct<value:string,label:string>>")
+    out = {r["id"]: r for r in D.detect(stress.scenarios(df)).collect()}
+    for name, text, needles, labels in SCENARIOS:
+        r = out[name]
+        want = sorted((i, i + len(v), label) for v, label in needles for i in range(len(text)) if text.startswith(v, i))
+        assert tuples(r["gold"]) == want
+        assert {s["label"] for s in r["spans"]} == labels
+    for bad, why in (([("없음", "CVC")], "no such text"), ([("abc", "CVC"), ("bc", "PORT")], "overlap")):
+        one = spark.createDataFrame([("x", "abcd", bad)], df.schema)
+        with pytest.raises(Exception, match=why):
+            stress.scenarios(one).collect()
