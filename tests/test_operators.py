@@ -358,7 +358,7 @@ def test_limits(spark):
 
 
 SCENARIOS = [
-    ("particles", "김민수님이 2024년 3월 15일에 010-9876-5432로 전화, hong.gd@example.com으로 답. 김민수", [("김민수", "PERSON"), ("2024년 3월 15일", "DATE"), ("010-9876-5432", "PHONE"), ("hong.gd@example.com", "EMAIL")], {"PHONE", "EMAIL"}),
+    ("particles", "김민수님이 2024년 3월 15일에 010-9876-5432로 전화, hong.gd@example.com으로 답. 김민수", [("김민수", "PERSON"), ("2024년 3월 15일", "DATE"), ("010-9876-5432", "PHONE"), ("hong.gd@example.com", "EMAIL")], {"EMAIL"}),
     ("card", "카드 5432-1234-5678-9012 로 결제, 주민등록번호 900101-1234567 입니다", [("5432-1234-5678-9012", "CARD_NUMBER")], {"CARD_NUMBER"}),
     ("numbers only", "결제 금액 1,250,000원, 수량 3개, 펌웨어 v12.4.1, 온도 36.5도", [], set()),
     ("times", "오전 9시 회의, 처리 시간은 2시간 30분, 2024년형 신제품", [], set()),
