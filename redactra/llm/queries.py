@@ -26,7 +26,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.grouped(documents(spark, sf_dir))
+    return ngram_jaccard.grouped(documents(spark, sf_dir)).select("doc_id", "n_shingles", "class_id", "component_id")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +61,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: All pairs that share a shingle, counted in full, and their components: fit for the small tables alone.
+JACCARD_SQL = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), s AS (
+        SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM w
+    ), e AS (
+        SELECT doc_id, unnest(s) AS g FROM s
+    ), p AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+    ), l AS (
+        SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= 90 * (len(a.s) + len(b.s) - c)
+    ), both_ways AS (
+        SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+    ), r(doc_id, root) AS (
+        SELECT doc_id, doc_id FROM s UNION SELECT b.y, r.root FROM r JOIN both_ways b ON b.x = r.doc_id
+    )
+    SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, any_value(k.class_id) AS class_id, min(r.root) AS component_id
+    FROM s JOIN r USING (doc_id) JOIN (SELECT doc_id, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM s) k USING (doc_id)
+    GROUP BY s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_ngram_jaccard_join": JACCARD_SQL}
