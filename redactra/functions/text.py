@@ -72,9 +72,20 @@ def leak_keys(text: Column, full_nfkc: Column | None = None) -> Column:
 
 
 def char_grams(text: Column, n: int = 12, step: int = 3) -> Column:
-    """Distinct n-character substrings at every ``step``-th place, without white space; a short text is one gram."""
-    bare = without_space(text)
-    return let(bare, lambda t: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(t) - n), F.lit(step)), lambda i: F.substring(t, i + 1, F.lit(n)))))
+    """Distinct n-character substrings at every ``step``-th place, without white space; a short text is one gram.
+
+    The text is cut into steps once and grams are put together from these, since a substring is found by counting characters
+    from the beginning of the text.
+    """
+    if n % step:
+        raise ValueError("n must be a multiple of step")
+    bare, parts = without_space(text), n // step
+
+    def grams(steps: Column) -> Column:
+        full = F.sequence(F.lit(0), F.size(steps) - parts)
+        return F.array_distinct(F.transform(full, lambda i: F.concat(*(F.get(steps, i + k) for k in range(parts)))))
+
+    return let(bare, lambda t: F.when(F.length(t) < n, F.array(t)).otherwise(let(F.regexp_extract_all(t, F.lit(f"(?s).{{{step}}}"), F.lit(0)), grams)))
 
 
 def hash_tenth(text: Column) -> Column:
