@@ -102,3 +102,30 @@ def html_table(table: DataFrame, title: str, digits: int = 4, most: int = 1000)
     line = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{html.escape(str(c))}</{tag}>" for c in cells) + "</tr>"
     body = "".join(line([_cell(x, digits) for x in r], "td") for r in rows)
     return f"<h2>{html.escape(title)}</h2><table>{line(table.columns, 'th')}{body}</table>"
+
+
+def against(results: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, support, base_f1, f1, delta, r) for a manifest of (name, tag, base_tag): deduplicated sets, rules and hybrids against their base.
+
+    A name whose result isn't there keeps its row, with nulls.
+    """
+    own = results.select(F.col("tag"), F.col("micro.support").alias("support"), F.col("micro.f1").alias("f1"), F.col("micro.r").alias("r"))
+    base = results.select(F.col("tag").alias("base_tag"), F.col("micro.f1").alias("base_f1"))
+    out = manifest.join(own, "tag", "left").join(base, "base_tag", "left")
+    return out.select("name", "support", "base_f1", "f1", ((F.col("f1") - F.col("base_f1")) * 100).alias("delta"), "r").orderBy("name")
+
+
+def html_report(results: DataFrame, leaks: DataFrame | None = None, final: list[str] | None = None, digits: int = 4) -> str:
+    """A page with a table for each dataset, best model first; ``final`` keeps these models alone.
+
+    ``leaks`` (dataset, percent) flags datasets whose texts are partly in the training set.
+    """
+    rows = ranking(results.withColumn("tag", F.col("dataset")))
+    rows = rows.filter(F.col("model").isin(final)) if final is not None else rows
+    flags = {r["dataset"]: r["percent"] for r in leaks.collect()} if leaks is not None else {}  # a row for each dataset
+    names = [r[0] for r in results.select("dataset").distinct().orderBy("dataset").collect()]
+    parts = []
+    for name in names:
+        flag = f" ({flags[name]:.2f} % in training)" if flags.get(name) else ""
+        parts.append(html_table(rows.filter(F.col("tag") == name).drop("tag"), f"{name}{flag}", digits))
+    return "<!doctype html><meta charset='utf-8'>" + "".join(parts)

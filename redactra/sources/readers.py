@@ -119,3 +119,14 @@ class HttpDetector:
                 yield pd.Series(out, index=texts.index, dtype=object)
 
         return run(text)
+
+
+def dataset_path(root: str, name: str) -> str:
+    """Where the unified rows of a dataset lie."""
+    return f"{root.rstrip('/')}/{name}.jsonl"
+
+
+def read_dataset(spark: SparkSession, root: str, name: str, lang: str | None = None) -> DataFrame:
+    """Unified rows of a dataset by name, of one language if asked for."""
+    df = read_rows(spark, dataset_path(root, name))
+    return df.filter(F.col("lang") == lang) if lang else df

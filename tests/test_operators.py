@@ -377,3 +377,13 @@ def test_scenarios(spark):
         one = spark.createDataFrame([("x", "abcd", bad)], df.schema)
         with pytest.raises(Exception, match=why):
             stress.scenarios(one).collect()
+
+
+def test_report_page_and_manifest(spark):
+    every = result(spark, "a", "d", "t", 0.8, {}).unionByName(result(spark, "b", "d", "t_dedup", 0.9, {})).unionByName(result(spark, "b", "e", "x", 0.5, {}))
+    manifest = spark.createDataFrame([("dedup", "t_dedup", "t"), ("gone", "none", "t")], "name string, tag string, base_tag string")
+    got = {r["name"]: r for r in reports.against(every, manifest).collect()}
+    assert round(got["dedup"]["delta"]) == 10 and got["gone"]["f1"] is None and got["gone"]["base_f1"] == 0.8
+    page = reports.html_report(every, spark.createDataFrame([("d", 2.5)], "dataset string, percent double"))
+    assert page.index("d (2.50 % in training)") < page.index("<td>b</td>") < page.index("<td>a</td>") < page.index("<h2>e</h2>")
+    assert "<td>a</td>" not in reports.html_report(every, final=["b"])

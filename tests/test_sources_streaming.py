@@ -120,3 +120,9 @@ def test_cli(spark, tmp_path, capsys):
 def test_read_masked(spark, tmp_path):
     spark.createDataFrame([(1, "010-1234-5678", "ko", "d", "n", '[{"label":"PHONE","value":"","start":0,"end":13}]')], "uid int, source_text string, language string, source_dataset string, augmentation_type string, privacy_mask string").write.parquet(str(tmp_path / "m"))
     assert dataset.unify_masked(readers.read_masked(spark, str(tmp_path / "m")), "train").first()["valid"] is True
+
+
+def test_dataset_by_name(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"id": "1", "text": "a", "lang": "ko", "spans": []}\n{"id": "2", "text": "b", "lang": "en", "spans": []}\n')
+    assert readers.read_dataset(spark, str(tmp_path), "x").count() == 2
+    assert readers.read_dataset(spark, str(tmp_path) + "/", "x", "en").first()["id"] == "2"
