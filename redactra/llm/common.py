@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,14 +36,33 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that ``written`` has made in this process, in order.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_made(spark: SparkSession, start: int, end: int | None = None, keep: int = 0) -> None:
+    """Removes tables MADE[start:end] but the last ``keep``, once no result reads them; finished shuffles' files go too.
+
+    Spark removes shuffle files when the driver has collected the objects that stand for them, so it is asked to.
+    """
+    jvm = spark.sparkContext._jvm
+    stop = (len(MADE) if end is None else end) - keep
+    for i in range(start, stop):
+        path = jvm.org.apache.hadoop.fs.Path(MADE[i])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, written
+from .common import SPACES, small, written
 
 MARGINS = ("source", "lang", "topic")
 NONE = "\x00none"
@@ -146,8 +146,8 @@ def draw(doc_id: Column, seed: int = 17) -> Column:
 def mix(df: DataFrame, keep_tokens: float = 0.8, power: float = 0.7, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", **cols) -> DataFrame:
     """Every document with its cell, weight and probability, and whether the sample has it: (id, source, lang, topic, n_tokens, weight, probability, kept)."""
     each = written(with_cells(df, id_col, **cols), "mix")
-    cells = calibrate(each, keep_tokens, power, targets)
-    # The cells broadcast only where Spark's own size check allows it; the aggregate's size is known by then.
+    # The cells are written, so that they are counted before they are broadcast.
+    cells = small(written(calibrate(each, keep_tokens, power, targets), "calibrated"))
     joined = each.join(cells.select(*MARGINS, F.col("factor").alias("weight"), "probability"), list(MARGINS), "left")
     joined = joined.withColumn("kept", F.coalesce(draw(F.col(id_col)) < F.col("probability"), F.lit(False)))
     shown = [F.when(F.col(m) == NONE, None).otherwise(F.col(m)).alias(m) for m in MARGINS]
@@ -157,7 +157,7 @@ def mix(df: DataFrame, keep_tokens: float = 0.8, power: float = 0.7, targets: di
 def sample(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The sampled documents, with all columns of ``df``."""
     text, source, lang, topic_col = (options.pop(k, d) for k, d in (("text_col", "text"), ("source_col", "source"), ("lang_col", "lang"), ("topic_col", None)))
-    cells = calibrate(written(with_cells(df, id_col, text, source, lang, topic_col), "mix"), **options)
+    cells = small(written(calibrate(written(with_cells(df, id_col, text, source, lang, topic_col), "mix"), **options), "calibrated"))
     key = [f"_cell_{m}" for m in MARGINS]
     mine = df.select("*", *(c.alias(k) for k, c in zip(key, _cell_columns(text, source, lang, topic_col), strict=True)))
     keep = cells.select(*(F.col(m).alias(k) for m, k in zip(MARGINS, key, strict=True)), F.col("probability").alias("_cell_probability"))
