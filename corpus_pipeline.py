@@ -6,18 +6,45 @@ Parquet and reads back as the next stage's documents. All but the last return th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactra.llm import ngram_jaccard, packing, raking, robust_quality, weak_toxicity
-from redactra.llm.common import documents, remainder, written
+from redactra.llm.common import MADE, documents, drop_made, remainder, written
+
+
+#: Which tables a stage's operator has left behind its result: MADE[from:to].
+LEFT: dict[str, tuple[int, int]] = {}
+
+
+def after(before: str | None) -> Callable:
+    """A stage that begins when the one ``before`` it is written: what that one's operator left goes first."""
+
+    def wrap(stage: Callable) -> Callable:
+        @wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            if before in LEFT:
+                drop_made(spark, *LEFT.pop(before))
+            start = len(MADE)
+            out = stage(spark, docs, sf_dir)
+            LEFT[stage.__name__] = (start, len(MADE))
+            return out
+
+        return run
+
+    return wrap
 
 
+@after(None)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the base rules or the robust distances reject go."""
     return robust_quality.keep_good(docs)
 
 
+@after("quality")
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents predicted toxic go. Ratings of the training folds come from ``labels``."""
     labels = documents(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 3) != 1)
@@ -25,16 +52,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return weak_toxicity.score(docs, model, keep=docs.columns).filter("_predicted = 0").select(*docs.columns)
 
 
+@after("toxicity")
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each component of five-word shingle sets with similarity 0.8 or more, the first document stays."""
     return ngram_jaccard.keep_one(docs, 5, 80)
 
 
+@after("near_copies")
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: documents drawn by raked probabilities."""
     return raking.sample(docs)
 
 
+@after("mixture")
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: one row for each piece of the remaining documents."""
     return packing.pack_documents(docs)
