@@ -27,6 +27,8 @@ from .common import SPACES, small, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 CORE, STEPS, SMALL = 0.75, 4, 200
+#: Tables of at most so many groups are broadcast.
+MANY = 100_000
 QUANTILE, REWEIGHT = 0.99999, 0.975
 SYMBOLS = "#*$%&|<>"
 #: Transformed statistics and the least standard deviation that each is given.
@@ -154,7 +156,7 @@ def _factored(moments: DataFrame) -> DataFrame:
 
 def _distances(rows: DataFrame, factored: DataFrame) -> DataFrame:
     """rows plus d2, the squared Mahalanobis distance, by forward substitution."""
-    out = rows.join(small(factored), "grp", "left")
+    out = rows.join(factored, "grp", "left")
     for i, d in enumerate(DIMS):
         rest = F.col(d) - F.col(f"m_{d}")
         for k in range(i):
@@ -179,6 +181,8 @@ def _grouped(q: DataFrame) -> tuple[DataFrame, DataFrame]:
 def estimate(q: DataFrame, core: float = CORE, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
     """Group names, and each group's reweighted MCD centre and Cholesky factor."""
     names, rows = _grouped(q)
+    # There are no more groups than rows of names, whose number is looked at once.
+    hint = F.broadcast if names.limit(MANY + 1).count() <= MANY else (lambda table: table)
     p = len(DIMS)
     quartiles = [F.percentile_approx(d, [0.25, 0.5, 0.75]).alias(f"_p{i}") for i, d in enumerate(DIMS)]
     first = rows.groupBy("grp").agg(*quartiles)
@@ -186,11 +190,11 @@ def estimate(q: DataFrame, core: float = CORE, steps: int = STEPS) -> tuple[Data
     now = written(first.select("grp", *(F.col(f"_p{i}")[1].alias(f"m_{d}") for i, d in enumerate(DIMS)), *zero), "mcd")
     consistent = core / chi2_cdf(chi2_quantile(core, p), p + 2)
     for _ in range(steps):
-        near = _distances(rows, now)
+        near = _distances(rows, hint(now))
         cut = written(near.groupBy("grp").agg(F.percentile_approx("d2", core).alias("cut")), "mcd")
-        inner = near.join(small(cut), "grp").filter(F.col("d2") <= F.col("cut"))
+        inner = near.join(hint(cut), "grp").filter(F.col("d2") <= F.col("cut"))
         now = written(_factored(_moments(inner, consistent)), "mcd")
-    inner = _distances(rows, now).filter(F.col("d2") <= chi2_quantile(REWEIGHT, p))
+    inner = _distances(rows, hint(now)).filter(F.col("d2") <= chi2_quantile(REWEIGHT, p))
     again = REWEIGHT / chi2_cdf(chi2_quantile(REWEIGHT, p), p + 2)
     final = _factored(_moments(inner, again))
     # A group whose rows all lie beyond the quantile keeps its last concentration step.

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -119,8 +120,10 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, smoo
         prior = float(np.clip(mass[1] / n, 1e-3, 1 - 1e-3))
         if i % 5 == 4:
             # What the label leaves over: residuals' covariance, label by label, scaled to correlations.
-            left = [votes - p[k] for k in (0, 1)]
-            cov = sum((x * w[:, None]).T @ x for x, w in zip(left, (1 - post, post), strict=True)) / n
+            cov = np.zeros((m, m))
+            for k, w in enumerate((1 - post, post)):
+                x = (votes - p[k].astype(votes.dtype)) * np.sqrt(w).astype(votes.dtype)[:, None]
+                cov += x.T @ x / n
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
             corr = np.clip(cov / np.outer(sd, sd), -1, 1)
             discount = np.maximum(1.0, (np.clip(corr, 0, 1) ** 2).sum(axis=1))
@@ -192,7 +195,7 @@ def fit(texts: list[set[str]], toxic: np.ndarray, most_features: int = 2000) ->
     voters = [*fixed, *(t for t in mined if t not in set(fixed))]
     if not len(texts) or not both:
         return ToxicModel(-3.0, dict.fromkeys(fixed, 5.0), None, tuple(voters))
-    votes = np.zeros((len(texts), len(voters) + 1))
+    votes = np.zeros((len(texts), len(voters) + 1), np.float32)
     for i, s in enumerate(texts):
         votes[i, :-1] = [v in s for v in voters]
     votes[:, -1] = toxic
@@ -235,7 +238,10 @@ def train(df: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS, id_col: s
             yield pa.record_batch([b.column(0), pa.array([" ".join(sorted((term_set(t) & kept.value) | find(t))) for t in texts])], names=["toxic", "terms"])
 
     got = joined.mapInArrow(run, "toxic int, terms string").toPandas().sort_values(["toxic", "terms"], ignore_index=True)
-    return fit([set(x.split()) for x in got["terms"]], got["toxic"].to_numpy(int))
+    # Equal terms are one string object, however many rows have them.
+    sets, toxic = [set(map(sys.intern, x.split())) for x in got["terms"]], got["toxic"].to_numpy(int)
+    del got
+    return fit(sets, toxic)
 
 
 def _telling(rated: DataFrame, least: int = 3, ratio: float = 3.0, most: int = 50_000) -> list[str]:
