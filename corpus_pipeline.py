@@ -55,7 +55,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @after("toxicity")
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each component of five-word shingle sets with similarity 0.8 or more, the first document stays."""
-    return ngram_jaccard.keep_one(docs, 5, 80)
+    return ngram_jaccard.keep_one(docs, 5, 80, finish="arrays")
 
 
 @after("near_copies")
