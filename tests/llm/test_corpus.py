@@ -294,7 +294,7 @@ def test_components_equal_brute_force(spark, monkeypatch, n, percent, crowd):
     monkeypatch.setattr(ngram_jaccard, "CROWD", crowd)
     rows = families(n * percent + crowd)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = ngram_jaccard.grouped(df, n, percent).collect()
+    out = ngram_jaccard.grouped(df, n, percent, finish="arrays" if percent == 80 else "pairs").collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == plain_components(rows, n, percent)
 
 
