@@ -3,7 +3,11 @@
 A store is a folder: ``data/<run>/`` holds one immutable run of Parquet shards, ``manifest/<version>.json`` lists the live
 runs. Arrivals are appended as small runs. Runs whose sizes fall into one tier (powers of ``fanout`` above the smallest
 shard) merge, when there are ``fanout`` of them, into one run of files near the target size, which enters a higher tier;
-each row is so rewritten about log(size) times. Runs at the target are never touched again.
+each row is so rewritten about log(size) times. A run whose files are too large for the target is rewritten into more of
+them. Runs with files near the target are never touched again. Merges of one round run side by side and are committed at once.
+
+``ingest`` cuts a table into arrivals bounded by bytes, so their number grows with the table: all are written in one job
+without a shuffle, in files bounded by the mean size of a row, and enter the store in order, a share at a time.
 
 A commit writes the next manifest under a temporary name and renames it; the rename fails if that version exists, so of
 two writers one wins and the other starts again from the newer version. Readers see one version as a whole. A job that
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TARGET, SMALLEST, FANOUT = 64 << 20, 1 << 20, 4
+#: Types whose values have at most 8 bytes.
+_FIXED = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"}
+#: Merges that run at once.
+MERGES = 8
 
 
 @dataclass(frozen=True)
@@ -63,6 +72,7 @@ class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target: int = TARGET, smallest: int = SMALLEST, fanout: int = FANOUT):
         self.spark, self.root, self.target, self.smallest, self.fanout = spark, root.rstrip("/"), target, smallest, fanout
         self.jvm = spark.sparkContext._jvm
+        self.short: set[str] = set()  # runs that came out with fewer files than asked for: no rewrite makes more of them
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, path: str):
@@ -116,64 +126,135 @@ class ShardStore:
 
     # Runs.
 
-    def _write(self, df: DataFrame, files: int, level: int, arrivals: tuple[int, int]) -> Run | None:
+    def _write(self, df: DataFrame, files: int, level: int, arrivals: tuple[int, int], even: bool = False) -> Run | None:
+        """``even`` deals the rows evenly to the files, by a shuffle."""
         path = f"data/{uuid.uuid4().hex}"
-        df.coalesce(files).write.option("compression", "zstd").parquet(f"{self.root}/{path}")
+        (df.repartition(files) if even else df.coalesce(files)).write.option("compression", "zstd").parquet(f"{self.root}/{path}")
         shards = [f for f in self._list(f"{self.root}/{path}") if f.getPath().getName().startswith("part-")]
         rows = self.spark.read.schema(df.schema).parquet(f"{self.root}/{path}").count()
         if not rows:
             self.fs.delete(self._path(f"{self.root}/{path}"), True)
             return None
+        if even and len(shards) < files:
+            self.short.add(path)
         return Run(path, rows, sum(f.getLen() for f in shards), len(shards), level, arrivals)
 
-    def append(self, df: DataFrame, files: int = 1, tries: int = 5) -> Manifest | None:
-        """Adds one arrival as a small run and commits it."""
-        before = self.manifest()
-        kind = StructType.fromJson(json.loads(before.schema)) if before else df.schema
+    def _as_stored(self, df: DataFrame, kind: StructType) -> DataFrame:
         have = set(df.columns)
-        same = df.select(*(F.col(f"`{f.name}`").cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in kind))
-        run = self._write(same, files, 0, (0, 0))
+        return df.select(*(F.col(f"`{f.name}`").cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in kind))
+
+    def _commit_runs(self, runs: list[Run], kind: StructType, tries: int) -> Manifest | None:
+        """Commits each run as an arrival of its own, in one version."""
         for _ in range(tries):
             now = self.manifest()
-            if run is None:
+            if not runs:
                 return now
             n = now.arrivals if now else 0
+            new = (replace(r, arrivals=(n + i, n + i)) for i, r in enumerate(runs))
             try:
-                return self.commit(Manifest((now.version if now else 0) + 1, json.dumps(kind.jsonValue()), n + 1, (*(now.runs if now else ()), replace(run, arrivals=(n, n)))))
+                return self.commit(Manifest((now.version if now else 0) + 1, json.dumps(kind.jsonValue()), n + len(runs), (*(now.runs if now else ()), *new)))
             except Conflict:
                 continue
         raise Conflict(f"no commit in {tries} tries")
 
-    def candidates(self, now: Manifest) -> list[Run] | None:
-        """The smallest tier with ``fanout`` runs below the target, its oldest runs first."""
+    def append(self, df: DataFrame, files: int = 1, tries: int = 5) -> Manifest | None:
+        """Adds one arrival as a small run and commits it."""
+        before = self.manifest()
+        kind = StructType.fromJson(json.loads(before.schema)) if before else df.schema
+        run = self._write(self._as_stored(df, kind), files, 0, (0, 0))
+        return self._commit_runs([run] if run else [], kind, tries)
+
+    def stage(self, df: DataFrame, most: int, batches: int) -> tuple[str, list[list[tuple[str, int, int]]]]:
+        """(folder, arrivals of files (name, rows, size)): ``df`` written once, cut into ``batches`` arrivals or more.
+
+        An arrival has files of at most ``most`` bytes together, or one file. Files are bounded by rows, as many as have
+        ``most`` bytes at the mean size before compression; a file that is larger, as its rows are, is left to ``compact``.
+        """
+        before = self.manifest()
+        same = self._as_stored(df, StructType.fromJson(json.loads(before.schema)) if before else df.schema)
+        width = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) if f.dataType.simpleString() not in _FIXED else F.lit(8) for f in same.schema), F.lit(0).cast("long"))
+        rows, size = same.agg(F.count("*"), F.sum(width)).first()
+        folder = f"{self.root}/stage/{uuid.uuid4().hex}"
+        if not rows:
+            return folder, []
+        least = max(1, min(-(-rows // batches), rows * most // max(1, size)))
+        same.write.option("compression", "zstd").option("maxRecordsPerFile", least).parquet(folder)
+        held = dict(self.spark.read.schema(same.schema).parquet(folder).select(F.col("_metadata.file_name").alias("f")).groupBy("f").count().collect())
+        files = sorted((f.getPath().getName(), held[f.getPath().getName()], f.getLen()) for f in self._list(folder) if f.getPath().getName() in held)
+        bound = min(most, sum(f[2] for f in files) // batches)
+        arrivals, full = [], 0
+        for f in files:
+            if not arrivals or full + f[2] > bound:
+                arrivals.append([])
+                full = 0
+            arrivals[-1].append(f)
+            full += f[2]
+        return folder, arrivals
+
+    def adopt(self, folder: str, arrivals: list[list[tuple[str, int, int]]], kind: StructType, tries: int = 5) -> Manifest | None:
+        """Moves staged files into the store, a run for each arrival, and commits them in one version."""
+        runs = []
+        for files in arrivals:
+            path = f"data/{uuid.uuid4().hex}"
+            self.fs.mkdirs(self._path(f"{self.root}/{path}"))
+            for name, _, _ in files:
+                if not self.fs.rename(self._path(f"{folder}/{name}"), self._path(f"{self.root}/{path}/{name}")):
+                    raise RuntimeError(f"{folder}/{name} can't be moved to {path}")
+            runs.append(Run(path, sum(f[1] for f in files), sum(f[2] for f in files), len(files), 0, (0, 0)))
+        before = self.manifest()
+        return self._commit_runs(runs, StructType.fromJson(json.loads(before.schema)) if before else kind, tries)
+
+    def files(self, size: int) -> int:
+        """How many files near the target hold ``size`` bytes."""
+        return max(1, round(size / self.target))
+
+    def candidates(self, now: Manifest) -> list[list[Run]]:
+        """Groups to merge: of each tier with ``fanout`` runs well below the target, the oldest first, as many as one file near
+        the target holds, so that no merge needs a shuffle; and alone, runs with files too large or too small for their size."""
         tiers: dict[int, list[Run]] = {}
+        out = []
         for r in now.runs:
-            if r.size // max(1, r.files) < self.target // 2 or r.size < self.target:
+            if 4 * r.size < 3 * self.target:
                 tiers.setdefault(self.tier(r.size), []).append(r)
+            elif (min(r.rows, self.files(r.size)) > r.files and r.path not in self.short) or self.files(r.size) < r.files and 2 * r.size < self.target * r.files:
+                out.append([r])
         for t in sorted(tiers):
-            if len(tiers[t]) >= self.fanout:
-                return sorted(tiers[t], key=lambda r: r.arrivals)[: 2 * self.fanout]
-        return None
-
-    def merge(self, runs: list[Run]) -> Manifest | None:
-        """Merges runs into files near the target size and commits; None if another writer was first."""
+            if len(tiers[t]) < self.fanout:
+                continue
+            groups: list[list[Run]] = [[]]
+            for r in sorted(tiers[t], key=lambda r: r.arrivals):
+                if len(groups[-1]) == 2 * self.fanout or 2 * (sum(x.size for x in groups[-1]) + r.size) > 3 * self.target:
+                    groups.append([])
+                groups[-1].append(r)
+            # Two runs always fit; one that is left over waits for others.
+            out.extend(g for g in groups if len(g) > 1)
+        return out
+
+    def merge(self, *groups: list[Run]) -> Manifest | None:
+        """Merges each group of runs into files near the target size and commits; None if another writer was first."""
         now = self.manifest()
-        size = sum(r.size for r in runs)
-        files = max(1, round(size / self.target))
-        new = self._write(self.read_runs(now, runs), files, max(r.level for r in runs) + 1, (min(r.arrivals[0] for r in runs), max(r.arrivals[1] for r in runs)))
-        gone = {r.path for r in runs}
+
+        def one(runs: list[Run]) -> Run:
+            files = self.files(sum(r.size for r in runs))
+            return self._write(self.read_runs(now, runs), files, max(r.level for r in runs) + 1, (min(r.arrivals[0] for r in runs), max(r.arrivals[1] for r in runs)), files > 1)
+
+        with ThreadPoolExecutor(MERGES) as pool:
+            made = list(pool.map(one, groups))
         now = self.manifest()
-        if not gone <= {r.path for r in now.runs}:
+        live = {r.path for r in now.runs}
+        done = [(g, new) for g, new in zip(groups, made, strict=True) if {r.path for r in g} <= live]
+        if not done:
             return None
+        gone = {r.path for g, _ in done for r in g}
         try:
-            return self.commit(replace(now, version=now.version + 1, runs=(*(r for r in now.runs if r.path not in gone), new)))
+            return self.commit(replace(now, version=now.version + 1, runs=(*(r for r in now.runs if r.path not in gone), *(new for _, new in done))))
         except Conflict:
             return None
 
     def compact(self) -> Manifest | None:
-        """Merges until no tier is full."""
-        while (now := self.manifest()) and (runs := self.candidates(now)):
-            self.merge(runs)
+        """Merges until no tier is full and no file too large."""
+        while (now := self.manifest()) and (groups := self.candidates(now)):
+            self.merge(*groups)
         return now
 
     def read_runs(self, at: Manifest, runs: list[Run] | tuple[Run, ...]) -> DataFrame:
@@ -198,16 +279,19 @@ class ShardStore:
         return len(dead)
 
 
-def ingest(df: DataFrame, root: str, batches: int = 12, id_col: str = "doc_id", **options) -> ShardStore:
-    """Appends ``df`` in arrivals dealt by a hash of the id, compacting after each few, as a feed would."""
+def ingest(df: DataFrame, root: str, batches: int = 12, **options) -> ShardStore:
+    """Takes ``df`` in as ``batches`` arrivals or more, of a quarter of the target at most, compacting after each few, as a feed would."""
     store = ShardStore(df.sparkSession, root, **options)
-    for i in range(batches):
-        store.append(df.filter(F.pmod(F.xxhash64(id_col), F.lit(batches)) == i), files=2)
-        if i % store.fanout == store.fanout - 1:
+    folder, arrivals = store.stage(df, max(1, store.target // 4), batches)
+    # Few enough steps, so that a large table's merges run side by side and its manifests stay small.
+    step = max(2 * store.fanout, -(-len(arrivals) // 8))
+    try:
+        for i in range(0, len(arrivals), step):
+            store.adopt(folder, arrivals[i : i + step], df.schema)
             store.compact()
             store.vacuum()
-    store.compact()
-    store.vacuum()
+    finally:
+        store.fs.delete(store._path(folder), True)
     return store
 
 

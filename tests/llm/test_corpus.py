@@ -556,6 +556,24 @@ def test_sharding_odd_rows(odd_docs, no_docs, tmp_path):
     assert empty.manifest() is None
 
 
+def test_sharding_merges_at_any_size(spark, tmp_path):
+    # Far above twelve times the target, in one partition: arrivals grow in number, tiers fill, files end near the target.
+    df = spark.range(40_000).coalesce(1).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    target = 50_000
+    store = compaction.ingest(df, str(tmp_path / "a"), target=target, smallest=2_000, fanout=3)
+    runs = store.manifest().runs
+    assert sum(r.size for r in runs) > 12 * target and store.manifest().arrivals > 40
+    merged = [r for r in runs if r.level]
+    assert sum(r.rows for r in merged) > 36_000
+    assert all(target / 2 <= r.size / r.files <= 2 * target for r in merged if r.size >= target)
+    assert sum(r.rows for r in runs) == 40_000 and store.read().distinct().count() == 40_000
+    # A run of one large file is split.
+    one = compaction.ShardStore(spark, str(tmp_path / "b"), target=target)
+    one.append(df)
+    run = one.compact().runs[0]
+    assert run.files > 12 and run.size / run.files <= 1.5 * target and one.read().distinct().count() == 40_000
+
+
 # 9, media columns
 
 
