@@ -75,7 +75,8 @@ class Patterns:
 
     def __init__(self) -> None:
         self.each = {f"!{k}": re.compile(p) for k, p in PATTERNS.items()}
-        self.quick = re.compile(r"(?i)\byou|\byourself|\bthem\b|\bhim\b|\bher\b|[*@#!$1]|\bthose\b|shut up|get lost|go to hell|drop dead")
+        # Whatever a pattern finds, this finds too; "masked" needs a mask or the word with u alone.
+        self.quick = re.compile(r"(?i)\bfu+c?k\b|\byou|\byourself|\bthem\b|\bhim\b|\bher\b|[*@#!$1]|\bthose\b|shut up|get lost|go to hell|drop dead")
 
     def __call__(self, text: str | None) -> set[str]:
         return {k for k, p in self.each.items() if p.search(text)} if text and self.quick.search(text) else set()

@@ -679,6 +679,27 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     assert weak_toxicity.predicted(no_docs, none, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("name", weak_toxicity.PATTERNS)
+def test_gate_lets_every_pattern_through(name):
+    find = weak_toxicity.Patterns()
+
+    @given(st.from_regex(weak_toxicity.PATTERNS[name]))
+    @settings(max_examples=300, deadline=None)
+    def run(text):
+        assert f"!{name}" in find(text)
+
+    run()
+    assert "!masked" in find("well, fuck that") and "!masked" in find("FUUUK") and not find("a fuchsia truck")
+
+
+def test_plain_masked_word_is_toxic_unrated(spark):
+    rows = rated(300)
+    df = spark.createDataFrame([*rows, (1000, "well fuck that", "en", 0)], "doc_id long, text string, lang string, toxic int")
+    labels = spark.createDataFrame([(i, t) for i, _, _, t in rows], "doc_id long, toxic int")
+    out = weak_toxicity.predicted(df, labels, F.lit(True)).filter("doc_id = 1000").first()
+    assert out["predicted"] == 1
+
+
 # Queries and pipeline
 
 
