@@ -323,7 +323,8 @@ for _name, (_new, _if) in _STRESS.items():
 @query()
 def longdoc_pack(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).withColumn("spans", F.array().cast(dataset.GOLD))
-    packed = stress.long_documents(rows.withColumn("ord", F.struct("conv_id", "turn")), "ord", stream="conv_id")
+    # One stream over all conversations; the text orders rows of the same turn.
+    packed = stress.long_documents(rows.withColumn("ord", F.struct("conv_id", "turn", "text")), "ord")
     return packed.select("id", F.length("text").alias("n"))
 
 

@@ -291,6 +291,38 @@ def test_long_documents(spark):
     assert [(x["text"], tuples(x["spans"])) for x in sorted(got, key=lambda x: int(x["id"][5:]))] == docs
 
 
+@pytest.mark.parametrize(("target", "longest"), [(100, 30), (7, 30), (100_000, 30), (40, 0)])
+def test_long_documents_over_chunks(spark, target, longest):
+    """One stream in many chunks is as one pass over all rows."""
+    r = random.Random(target)
+    rows = [(i, "".join(r.choices("ab 나", k=r.randint(0, longest))), [(0, 1, "CVC")] if r.random() < 0.3 else []) for i in range(500)]
+    docs, buf, spans, off = [], [], [], 0
+    for _, t, sp in rows:
+        spans += [(s + off, e + off, label) for s, e, label in sp]
+        buf.append(t)
+        off += len(t) + 1
+        if off >= target:
+            docs.append(("\n".join(buf), spans))
+            buf, spans, off = [], [], 0
+    if spans:
+        docs.append(("\n".join(buf), spans))
+    df = spark.createDataFrame(rows, f"ord int, text string, spans {GOLD}").repartition(5)
+    got = stress.long_documents(df, "ord", target).collect()
+    assert [(x["text"], tuples(x["spans"])) for x in sorted(got, key=lambda x: int(x["id"][5:]))] == docs
+
+
+def test_longdoc_query_packs_across_conversations(spark, sf_dir):
+    from redactra.plans import queries as q
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).collect()
+    want, n, k = {}, 0, 0
+    for x in sorted(rows, key=lambda x: (x["conv_id"], x["turn"], x["text"])):
+        n += len(x["text"]) + 1
+        if n >= 1800:
+            want[f"long-{k}"], n, k = n - 1, 0, k + 1
+    assert {x["id"]: x["n"] for x in q.longdoc_pack(spark, sf_dir).collect()} == want
+
+
 def test_occurrences(spark):
     df = spark.createDataFrame([("abababa",), ("",)], "text string")
     assert [tuples(x[0]) for x in df.select(stress.occurrences(F.col("text"), "aba", "CVC")).collect()] == [[(0, 3, "CVC"), (2, 5, "CVC"), (4, 7, "CVC")], []]
