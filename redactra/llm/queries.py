@@ -26,7 +26,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.grouped(documents(spark, sf_dir)).select("doc_id", "n_shingles", "class_id", "component_id")
+    return ngram_jaccard.grouped(documents(spark, sf_dir), links=False).select("doc_id", "n_shingles", "class_id", "component_id")
+
+
+def op4_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join with the exact number of links of each document, a column that the SQL of the join doesn't have."""
+    return ngram_jaccard.grouped(documents(spark, sf_dir))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

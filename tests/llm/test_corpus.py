@@ -298,6 +298,21 @@ def test_components_equal_brute_force(spark, monkeypatch, n, percent, crowd):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == plain_components(rows, n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_links_equal_brute_force(spark, n, percent):
+    rows = families(n * percent)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: frozenset(ngram_jaccard.shingles(t, n).tolist()) for d, t in rows}
+    each = set(sets.values())
+    want = {d: sum(a != b and 100 * len(a & b) >= percent * len(a | b) for b in each) if a else 0 for d, a in sets.items()}
+    assert max(want.values()) > 2
+    assert {r["doc_id"]: r["n_links"] for r in ngram_jaccard.grouped(df, n, percent).collect()} == want
+    # Blocks of few elements meet each other once.
+    _, classes = ngram_jaccard.join(df, n, percent)
+    counts = {r["cls"]: r["n_links"] for r in ngram_jaccard.link_counts(df, classes, n, percent, elements=300).collect()}
+    assert {r["low"]: counts.get(r["cls"], 0) for r in classes.collect()} == {r["low"]: want[r["low"]] for r in classes.collect()}
+
+
 def test_join_odd_rows(odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     out = ngram_jaccard.grouped(odd_docs).collect()
