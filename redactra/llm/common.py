@@ -63,6 +63,17 @@ def drop_made(spark: SparkSession, start: int, end: int | None = None, keep: int
     jvm.System.gc()
 
 
+def fresh_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all ``columns``, whatever their case."""
+    there, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in there:
+            n = "_" + n
+        there.add(n.lower())
+        out.append(n)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

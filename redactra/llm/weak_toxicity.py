@@ -2,15 +2,17 @@
 
 * Voters: a fixed lexicon of insults, fixed patterns, and lexicon voters mined from rated training rows (words and word
   beginnings that come far more often in toxic rows; languages differ in them, so they can't all be fixed). A voter says
-  toxic, or abstains; patterns of plain prose say clean. Ratings of training rows are one more voter with its own errors.
-* Label model: a latent label with a vote distribution of each voter for each label, fitted by expectation maximisation.
+  toxic, or abstains, which says nothing; one voter says clean where all others are silent. Ratings are no voter: they
+  choose the mined voters and measure accuracies, which orient the label.
+* Label model: a latent label with a vote distribution of each voter for each label, fitted to the votes by expectation maximisation.
   Voters that go together beyond what the label explains (the correlation of their residuals) would be counted twice, so
   each one's log-likelihood ratio is divided by its correlation mass; the two steps alternate.
 * Classifier: logistic regression with an L1 penalty on the presence of words, word beginnings and patterns, fitted to
   the posterior labels. Presence, not frequency: a long clean text doesn't dilute or collect.
 
 The fit takes at most ``max_rows`` rated rows of the training folds (those with the smallest hash of their id, up to a
-third of them toxic): a bounded, documented sample. Every document is scored over its whole text.
+third of them toxic): a bounded, documented sample. Of their terms at most ``MOST_TERMS`` reach the driver, at most
+``MOST_VOTERS`` mined ones vote and at most ``MOST_FEATURES`` are the classifier's. Every document is scored over its whole text.
 
 Defined results: null and empty texts have no features and get the bias' score. Null ratings aren't used; of several
 ratings of one document the highest counts. Without ratings of both kinds the fixed lexicon alone makes the labels.
@@ -32,9 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import hash_sample, slices, written
+from .common import fresh_names, hash_sample, slices, written
 
 MAX_ROWS = 12_000
+#: Bounds of the fit, beside its rows: terms looked at, mined voters, the classifier's features; the most telling ones stay.
+MOST_TERMS, MOST_VOTERS, MOST_FEATURES = 50_000, 300, 2000
 #: Insults that vote toxic: fixed values.
 LEXICON = """
     bastard bitch clown cretin despicable dimwit disgusting dumbass filth filthy fool garbage halfwit idiot idiotic
@@ -84,42 +88,57 @@ class Patterns:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """P(vote | label) for each voter, the share of toxic rows, and each voter's discount for its correlations."""
+    """P(vote | label) of each voter, the share of toxic rows, and each voter's discount for its correlations.
 
-    log_on: np.ndarray  # (2, voters): log P(votes toxic | label)
-    log_off: np.ndarray  # (2, voters): log P(abstains | label)
+    The last voter is the silent one: it says clean where no other votes. A voter that abstains gives no evidence, since most
+    voters know one language only.
+    """
+
+    log_on: np.ndarray  # (2, voters): log P(votes | label)
     prior: float
     discount: np.ndarray
     correlations: np.ndarray = field(repr=False)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on = (self.log_on[1] - self.log_on[0]) / self.discount
-        off = (self.log_off[1] - self.log_off[0]) / self.discount
-        z = math.log(self.prior / (1 - self.prior)) + off.sum() + votes @ (on - off)
+        z = math.log(self.prior / (1 - self.prior)) + votes @ ((self.log_on[1] - self.log_on[0]) / self.discount)
         return 1 / (1 + np.exp(np.clip(-z, -60, 60)))
 
     @property
     def accuracies(self) -> np.ndarray:
-        """P(voter is right | it votes or abstains as a binary voter)."""
-        return self.prior * np.exp(self.log_on[1]) + (1 - self.prior) * np.exp(self.log_off[0])
+        """P(a voter is right | it votes); the silent voter is right about clean rows."""
+        on = np.exp(self.log_on) * np.array([[1 - self.prior], [self.prior]])
+        share = on[1] / on.sum(axis=0)
+        share[-1] = 1 - share[-1]
+        return share
+
+
+def with_silent(votes: np.ndarray) -> np.ndarray:
+    """The votes and, last, the silent voter's."""
+    return np.hstack([votes, ~votes.any(axis=1, keepdims=True)]).astype(votes.dtype)
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, smooth: float = 0.5, rater: tuple[float, float, float] = (0.99, 0.01, 100.0)) -> LabelModel:
-    """votes: (rows, voters) of 0 and 1, the rater's last; start: first guesses of P(toxic).
+def measured(votes: np.ndarray, ratings: np.ndarray, smooth: float = 0.5) -> np.ndarray:
+    """(2, voters): each voter's share of votes among rows rated clean and among rows rated toxic, smoothed."""
+    mass = np.array([(1 - ratings).sum(), ratings.sum()], float)
+    on = np.vstack([(1 - ratings) @ votes, ratings @ votes]).astype(float)
+    return np.clip((on + smooth) / (mass[:, None] + 2 * smooth), 1e-4, 1 - 1e-4)
 
-    Accuracies by EM, correlations from residuals. ``rater``: the prior P(vote | toxic), P(vote | clean) of the human rater
-    and how many rows it counts as, so that a few rows can't make the latent label mean something else.
+
+def fit_label_model(votes: np.ndarray, accuracies: np.ndarray, prior: float, rounds: int = 25, anchor: float = 0.5) -> LabelModel:
+    """votes: (rows, voters) of 0 and 1 from ``with_silent``; no rating is among them. The label is found from votes alone, by EM.
+
+    ``accuracies`` (see ``measured``) orient it: they give the first guess, and in each round they count as ``anchor`` times
+    the rows, so that the label keeps its meaning. A row's posterior hangs on its votes only. Voters' correlations come from
+    what the label leaves over, and each voter's log-likelihood ratio is divided by its correlation mass.
     """
     n, m = votes.shape
-    post, discount, corr = start.astype(float), np.ones(m), np.eye(m)
-    for i in range(rounds):
-        mass = np.array([(1 - post).sum(), post.sum()])
-        on = np.vstack([(1 - post) @ votes, post @ votes])
-        p = (on + smooth * np.array([[0.1], [1.0]])) / (mass[:, None] + smooth * 2)
-        p[:, -1] = (on[:, -1] + rater[2] * np.array([rater[1], rater[0]])) / (mass + rater[2])
-        p = np.clip(p, 1e-4, 1 - 1e-4)
-        prior = float(np.clip(mass[1] / n, 1e-3, 1 - 1e-3))
-        if i % 5 == 4:
+    discount, corr, p, share = np.ones(m), np.eye(m), accuracies.astype(float), prior
+    for i in range(rounds + 1):
+        model = LabelModel(np.log(p), share, discount, corr)
+        post = model.posterior(votes)
+        if i == rounds:
+            return model
+        if i % 5 == 0:
             # What the label leaves over: residuals' covariance, label by label, scaled to correlations.
             cov = np.zeros((m, m))
             for k, w in enumerate((1 - post, post)):
@@ -128,24 +147,32 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25, smoo
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
             corr = np.clip(cov / np.outer(sd, sd), -1, 1)
             discount = np.maximum(1.0, (np.clip(corr, 0, 1) ** 2).sum(axis=1))
-            discount[-1] = 1.0
-        model = LabelModel(np.log(p), np.log1p(-p), prior, discount, corr)
-        post = model.posterior(votes)
-    return model
+        mass = np.array([(1 - post).sum(), post.sum()])
+        weight = anchor * n * np.array([1 - prior, prior]) + 1
+        p = np.vstack([(1 - post) @ votes, post @ votes])
+        p = np.clip((p + weight[:, None] * accuracies) / (mass + weight)[:, None], 1e-4, 1 - 1e-4)
+        share = float(np.clip((mass[1] + anchor * n * prior) / (n * (1 + anchor)), 1e-3, 1 - 1e-3))
+
+
+def surprise(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """The log-likelihood ratio statistic of a term's counts in toxic and clean rows against equal shares in both."""
+    a, b = toxic + clean, n_toxic + n_clean
+    cells = ((toxic, n_toxic, a), (clean, n_clean, a), (n_toxic - toxic, n_toxic, b - a), (n_clean - clean, n_clean, b - a))
+    return 2 * sum(x * math.log(x * b / (n * m)) for x, n, m in cells if x > 0)
 
 
-def mine(sets: list[set[str]], toxic: np.ndarray, most: int = 300, least: int = 3, ratio: float = 12.0) -> list[str]:
-    """Terms that come at least ``ratio`` times as often in toxic rows, smoothed; the surest ones first."""
+def mine(sets: list[set[str]], toxic: np.ndarray, most: int = MOST_VOTERS, ratio: float = 5.0) -> list[str]:
+    """Terms that come at least ``ratio`` times as often in toxic rows, smoothed, and too often for chance among so many terms; the surest first."""
     df = [Counter(), Counter()]
     for s, y in zip(sets, toxic, strict=True):
         df[y].update(s)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
+    sure = 2 * math.log(max(2, len(df[0].keys() | df[1].keys()))) + 4
     found = []
     for t, a in df[1].items():
-        if a >= least and t[0] != "!":
-            lift = (a / n1) / ((df[0].get(t, 0) + 0.5) / n0)
-            if lift >= ratio:
-                found.append((-a * math.log(lift), t))
+        c = df[0].get(t, 0)
+        if t[0] != "!" and a * (n0 or 1) >= ratio * (c + 0.5) * (n1 or 1) and (g := surprise(a, c, n1, n0)) >= sure:
+            found.append((-g, t))
     return [t for _, t in sorted(found)[:most]]
 
 
@@ -188,32 +215,36 @@ def _logistic(sets: list[set[str]], target: np.ndarray, names: list[str], l1: fl
     return b, w
 
 
-def fit(texts: list[set[str]], toxic: np.ndarray, most_features: int = 2000) -> ToxicModel:
-    """texts: term and pattern sets of rated rows; toxic: their ratings, 0 or 1."""
+def fit(texts: list[set[str]], toxic: np.ndarray, most_features: int = MOST_FEATURES) -> ToxicModel:
+    """texts: term and pattern sets of rated rows; toxic: their ratings, 0 or 1.
+
+    Ratings choose the mined voters, measure accuracies and give the share of toxic rows; the classifier's targets are the
+    label model's posteriors, not the ratings.
+    """
     both = 0 < toxic.sum() < len(toxic)
     mined = mine(texts, toxic) if both else []
     fixed = [*LEXICON, *(f"!{k}" for k in PATTERNS)]
     voters = [*fixed, *(t for t in mined if t not in set(fixed))]
     if not len(texts) or not both:
         return ToxicModel(-3.0, dict.fromkeys(fixed, 5.0), None, tuple(voters))
-    votes = np.zeros((len(texts), len(voters) + 1), np.float32)
+    at = {v: i for i, v in enumerate(voters)}
+    votes = np.zeros((len(texts), len(voters)), np.float32)
     for i, s in enumerate(texts):
-        votes[i, :-1] = [v in s for v in voters]
-    votes[:, -1] = toxic
-    any_vote = votes[:, : len(fixed)].any(axis=1)
-    start = np.where(toxic == 1, 0.95, np.where(any_vote, 0.3, 0.02))
-    model = fit_label_model(votes, start)
+        votes[i, [at[t] for t in s if t in at]] = 1
+    votes = with_silent(votes)
+    model = fit_label_model(votes, measured(votes, toxic), float(toxic.mean()))
     post = model.posterior(votes)
-    # Features that go with the posterior: by the weight of evidence, from presence in three rows on.
+    # Features that go with the posterior, from presence in three rows on: those that say most about it first, chance excluded.
     df, on = Counter(), Counter()
     for s, p in zip(texts, post, strict=True):
         df.update(s)
         if p > 1e-3:
             for t in s:
                 on[t] += p
-    base = float(post.mean())
-    gain = {t: (on[t] - c * base) ** 2 / (c * base * (1 - base) + 1e-9) for t, c in df.items() if c >= 3 and on[t] > 3 * c * base}
-    names = sorted(sorted(gain, key=lambda t: (-gain[t], t))[:most_features])
+    base = float(np.clip(post.mean(), 1e-6, 1 - 1e-6))
+    gain = {t: (on[t] - c * base) ** 2 / (c * base * (1 - base)) for t, c in df.items() if c >= 3 and on[t] > c * base}
+    sure = 2 * math.log(max(2, len(df))) + 4
+    names = sorted((t for t in gain if gain[t] >= sure), key=lambda t: (-gain[t], t))[:most_features]
     names = sorted({*names, *(t for t in fixed if t in df)})
     b, w = _logistic(texts, post, names)
     weights = {t: float(x) for t, x in zip(names, w, strict=True) if x}
@@ -245,7 +276,7 @@ def train(df: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS, id_col: s
     return fit(sets, toxic)
 
 
-def _telling(rated: DataFrame, least: int = 3, ratio: float = 3.0, most: int = 50_000) -> list[str]:
+def _telling(rated: DataFrame, least: int = 3, ratio: float = 3.0, most: int = MOST_TERMS) -> list[str]:
     """Terms of the sample that come at least ``ratio`` times as often in toxic rows, and the lexicon: what the fit can use."""
 
     def run(batches):
@@ -291,11 +322,12 @@ def scorer(model: ToxicModel, remember: int = 300_000):
 
 
 def score(df: DataFrame, model: ToxicModel, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id or ``keep`` columns, score, predicted) of every document."""
+    """(id or ``keep`` columns, then score and predicted, under names that the table lacks) of every document."""
+    names = fresh_names(keep or [id_col], "score", "predicted")
     slim = ToxicModel(model.bias, model.weights)
     shared = df.sparkSession.sparkContext.broadcast(slim)
     own = df.select(text_col, *(keep or [id_col]))
-    schema = StructType([*own.schema.fields[1:], StructField("_score", DoubleType()), StructField("_predicted", IntegerType())])
+    schema = StructType([*own.schema.fields[1:], StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
 
     def run(batches):
         rate = scorer(shared.value)
@@ -309,5 +341,10 @@ def score(df: DataFrame, model: ToxicModel, threshold: float = 0.7, id_col: str
 def predicted(df: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, score, predicted), learning from the rows of ``labels`` for which ``training`` holds."""
     model = train(df, labels.filter(training), id_col=id_col, text_col=text_col)
-    out = score(df, model, id_col=id_col, text_col=text_col, **options)
-    return out.withColumnsRenamed({"_score": "score", "_predicted": "predicted"})
+    return score(df, model, id_col=id_col, text_col=text_col, **options)
+
+
+def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The documents that aren't predicted toxic, with the columns of ``df``; ``labels``: ratings of the training rows."""
+    scored = score(df, train(df, labels, id_col=id_col, text_col=text_col), threshold, id_col, text_col, df.columns)
+    return scored.filter(F.col(scored.columns[-1]) == 0).select(*df.columns)
