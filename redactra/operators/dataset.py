@@ -153,9 +153,13 @@ def audit_rows(df: DataFrame) -> DataFrame:
 
 
 def first_wins(df: DataFrame, order: str, text_col: str = "text") -> DataFrame:
-    """Rows that are the first of their collapsed text."""
-    least = df.withColumn("_key", F.md5(collapse_space(F.col(text_col)))).groupBy("_key").agg(F.min_by(F.struct(*df.columns), order).alias("r"))
-    return least.select("r.*")
+    """Rows that are the first of their collapsed text; ``order`` tells rows apart.
+
+    Keys and orders alone are aggregated, on the map side first, so a hot text costs a row for each task; the rows are then
+    looked up by their order.
+    """
+    least = df.groupBy(F.md5(collapse_space(F.col(text_col)))).agg(F.min(order).alias("_least")).select("_least")
+    return df.join(least, F.col(order) == F.col("_least"), "left_semi")
 
 
 def split_templates(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -18,11 +18,11 @@ def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
     return ascii_rows.unionByName(others)
 
 
-def marked(train: DataFrame, test: DataFrame, text_col: str = "text") -> DataFrame:
-    """Test rows with ``leak_exact``, ``leak_norm`` and ``leak_masked``; distinct training keys are joined, a level at a time."""
+def marked(train: DataFrame, test: DataFrame, text_col: str = "text", levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """Test rows with ``leak_`` columns of the levels asked for; distinct training keys are joined, a level at a time."""
     keys = keyed(train.select(text_col), text_col).select("keys.*")
     out = keyed(test, text_col)
-    for level in LEVELS:
+    for level in levels:
         known = keys.select(F.col(level).alias("_k")).distinct().withColumn("_hit", F.lit(True))
         out = out.join(known, F.col(f"keys.{level}") == F.col("_k"), "left").withColumn(f"leak_{level}", F.coalesce("_hit", F.lit(False))).drop("_k", "_hit")
     return out.drop("keys")
@@ -31,9 +31,10 @@ def marked(train: DataFrame, test: DataFrame, text_col: str = "text") -> DataFra
 def counts(rows: DataFrame, spans_col: str | None = None) -> DataFrame:
     """(level, n, percent, spans) of marked test rows."""
     spans = F.coalesce(F.size(spans_col), F.lit(0)) if spans_col else F.lit(0)
+    levels = [x for x in LEVELS if f"leak_{x}" in rows.columns]
     hit = lambda x: F.col(f"leak_{x}").cast("int")
-    one = rows.agg(F.count("*").alias("total"), *(F.sum(hit(x)).alias(f"n_{x}") for x in LEVELS), *(F.sum(hit(x) * spans).alias(f"s_{x}") for x in LEVELS))
-    each = F.array(*(F.struct(F.lit(x).alias("level"), F.coalesce(f"n_{x}", F.lit(0)).alias("n"), F.coalesce(F.try_divide(F.col(f"n_{x}") * 100.0, "total"), F.lit(0.0)).alias("percent"), F.coalesce(f"s_{x}", F.lit(0)).alias("spans")) for x in LEVELS))
+    one = rows.agg(F.count("*").alias("total"), *(F.sum(hit(x)).alias(f"n_{x}") for x in levels), *(F.sum(hit(x) * spans).alias(f"s_{x}") for x in levels))
+    each = F.array(*(F.struct(F.lit(x).alias("level"), F.coalesce(f"n_{x}", F.lit(0)).alias("n"), F.coalesce(F.try_divide(F.col(f"n_{x}") * 100.0, "total"), F.lit(0.0)).alias("percent"), F.coalesce(f"s_{x}", F.lit(0)).alias("spans")) for x in levels))
     return one.select(F.inline(each))
 
 

@@ -233,6 +233,7 @@ def test_audit(spark):
 
 def test_first_wins_split_and_weights(spark):
     df = spark.createDataFrame([(3, "a  b"), (1, "a b "), (2, "c")], "ord int, text string")
+    assert dataset.first_wins(df, "ord").columns == df.columns
     assert {r["ord"] for r in dataset.first_wins(df, "ord").collect()} == {1, 2}
     many = spark.range(300).select(F.concat(F.lit("template "), F.col("id").cast("string")).alias("text"))
     train, held = dataset.split_templates(many)
@@ -315,12 +316,15 @@ def test_longdoc_query_packs_across_conversations(spark, sf_dir):
     from redactra.plans import queries as q
 
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).collect()
-    want, n, k = {}, 0, 0
+    want, n, k, spans = {}, 0, 0, 0
     for x in sorted(rows, key=lambda x: (x["conv_id"], x["turn"], x["text"])):
+        spans += bool(x["text"])
         n += len(x["text"]) + 1
         if n >= 1800:
-            want[f"long-{k}"], n, k = n - 1, 0, k + 1
-    assert {x["id"]: x["n"] for x in q.longdoc_pack(spark, sf_dir).collect()} == want
+            want[f"long-{k}"], n, k, spans = (n - 1, spans), 0, k + 1, 0
+    if spans:
+        want[f"long-{k}"] = n - 1, spans
+    assert {x["id"]: (x["n"], x["n_spans"]) for x in q.longdoc_pack(spark, sf_dir).collect()} == want
 
 
 def test_occurrences(spark):
@@ -336,17 +340,31 @@ def test_generated_values_are_valid(spark, label):
 
 def test_fill(spark):
     t = spark.createDataFrame([("a", "g", "이름 {PERSON} 번호 {PHONE}. 다시 {PERSON}! 끝."), ("b", "g", "{NOPE} x")], "template_id string, genre string, text string")
-    rows = synth.fill(t, 30, 1).collect()
-    assert len(rows) == 30 and rows == synth.fill(t.repartition(2), 30, 1).orderBy("id").collect() or len({r["id"] for r in rows}) == 30
+    rows = synth.fill(t, 30, 1).orderBy("id").collect()
+    assert len(rows) == 30 and rows == synth.fill(t.repartition(2), 30, 1).orderBy("id").collect()
     for r in rows:
         assert [s["label"] for s in r["spans"]] == ["PERSON", "PHONE", "PERSON"]
         assert all(r["text"][s["start"] : s["end"]].strip() for s in r["spans"])
-    long = synth.long_rows(synth.fill(t, 30, 1), 3)
-    for r in long.collect():
-        assert all(r["text"][s["start"] : s["end"]].strip() for s in r["spans"])
+        # What stands before a span is the template's, or what may stand around a value.
+        assert "이름 " in r["text"][: r["spans"][0]["start"]]
+    filled = synth.fill(t, 30, 1)
+    long = synth.long_rows(filled, 5).collect()
+    values = {r["text"][s["start"] : s["end"]] for r in rows for s in r["spans"]}
+    assert len(long) == 5
+    for r in long:
+        assert len(r["spans"]) in (6, 9, 12) and all(r["text"][s["start"] : s["end"]] in values for s in r["spans"])
     assert synth.negative_rows(spark, 5).filter(F.size("spans") == 0).count() == 5
 
 
+def test_forms_are_many_and_as_written():
+    for label, forms in synth.FORMS.items():
+        seen = {synth.Values(synth.chance(label, k)).value(label) for k in range(60)}
+        assert len(seen) > (9 if label != "CVC" else 5), label
+        assert not any(c in v for v in seen for c in "#{}<>"), label
+    v = synth.Values(synth.chance(0))
+    assert set(v.form("{07-07} [b-b] #")) <= set("07 b123456789") and synth.luhn_digit("7992739871") == "3"
+
+
 def test_templates(spark):
     df = spark.createDataFrame([("담당자: 이몽룡님 a@b.org 010-1234-5678 2024년 3월 5일 http://x.kr 1.2.3.4 홍길동",)], "text string")
     assert df.select(synth.auto_placeholder(F.col("text"))).first()[0] == "담당자: {PERSON} {EMAIL} {PHONE} {DATE} {URL} {IPADDRESS} {PERSON}"
