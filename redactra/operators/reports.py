@@ -122,8 +122,8 @@ def html_report(results: DataFrame, leaks: DataFrame | None = None, final: list[
     """
     rows = ranking(results.withColumn("tag", F.col("dataset")))
     rows = rows.filter(F.col("model").isin(final)) if final is not None else rows
-    flags = {r["dataset"]: r["percent"] for r in leaks.collect()} if leaks is not None else {}  # a row for each dataset
     names = [r[0] for r in results.select("dataset").distinct().orderBy("dataset").collect()]
+    flags = {r["dataset"]: r["percent"] for r in leaks.filter(F.col("dataset").isin(names)).groupBy("dataset").agg(F.max("percent").alias("percent")).collect()} if leaks is not None else {}
     parts = []
     for name in names:
         flag = f" ({flags[name]:.2f} % in training)" if flags.get(name) else ""

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import SPANS
@@ -26,11 +26,18 @@ def read_rows(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def with_order(df: DataFrame) -> DataFrame:
-    """``ord``: the place of a row in its files, by file and then by place in the file.
+    """``ord``: grows by file, in the order of their paths, and then by place in the file; ``df`` reads files as they are.
 
-    Spark's rows have no order of their own; ids grow along a file's splits as long as it is read in one go.
+    Spark deals files and their splits to tasks by size, so a split gets its number from a small table of all splits; inside a
+    split rows come in order.
     """
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    seen = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), place.alias("_place"))
+    # A row for each split: far fewer than rows, and put in order by one task.
+    splits = df.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")).distinct()
+    splits = splits.withColumn("_split", F.row_number().over(Window.orderBy("_path", "_start")).cast("long"))
+    numbered = seen.join(splits, ["_path", "_start"]).withColumn("ord", F.col("_split") * (1 << 33) + F.col("_place"))
+    return numbered.select(*df.columns, "ord")
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
@@ -86,10 +93,13 @@ def read_labels(path: str) -> dict[str, str]:
 class HttpDetector:
     """A detector behind HTTP: batches of texts are posted as JSON by the executors; the reply has a list of spans for each.
 
-    Texts are cut to ``longest`` as the service asks; ``tries`` calls are made while it answers 429.
+    The service takes texts of at most ``longest`` characters: longer ones go in parts that overlap by ``overlap`` characters,
+    and spans come back in the whole text's places; of spans that overlap the first one stays. ``tries`` calls are made while
+    it answers 429.
     """
 
-    def __init__(self, url: str, batch: int = 5, longest: int = 5000, tries: int = 6, timeout: float = 60.0, headers: dict[str, str] | None = None):
+    def __init__(self, url: str, batch: int = 5, longest: int = 5000, tries: int = 6, timeout: float = 60.0, headers: dict[str, str] | None = None, overlap: int = 200):
+        self.step = max(1, longest - overlap)
         self.url, self.batch, self.longest, self.tries, self.timeout, self.headers = url, batch, longest, tries, timeout, headers or {}
 
     def call(self, texts: list[str]) -> list[list[dict]]:
@@ -108,15 +118,30 @@ class HttpDetector:
                 time.sleep(2 + 3 * i)
         raise RuntimeError("the service keeps answering 429")
 
+    def parts(self, text: str) -> list[tuple[int, str]]:
+        """(place, part) of a text."""
+        last = max(0, len(text) - self.longest)
+        return [(at, text[at : at + self.longest]) for at in [*range(0, last, self.step), last]]
+
+    def joined(self, found: list[tuple[int, list[dict]]]) -> list[dict]:
+        """The parts' spans in places of the whole text, in order, without those that overlap one before."""
+        out: list[dict] = []
+        for s in sorted((s | {"start": s["start"] + at, "end": s["end"] + at} for at, spans in found for s in spans), key=lambda s: (s["start"], -s["end"])):
+            if not out or s["start"] >= out[-1]["end"]:
+                out.append(s)
+        return out
+
     def spans(self, text):
         @F.pandas_udf(SPANS)
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in parts:
-                out: list[list[dict]] = []
-                some = [(t or "")[: self.longest] for t in texts]
-                for i in range(0, len(some), self.batch):
-                    out.extend(self.call(some[i : i + self.batch]))
-                yield pd.Series(out, index=texts.index, dtype=object)
+        def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in series:
+                asked = [(row, at, part) for row, t in enumerate(texts) for at, part in self.parts(t or "")]
+                found: list[list[tuple[int, list[dict]]]] = [[] for _ in texts]
+                for i in range(0, len(asked), self.batch):
+                    some = asked[i : i + self.batch]
+                    for (row, at, _), spans in zip(some, self.call([x[2] for x in some]), strict=True):
+                        found[row].append((at, spans))
+                yield pd.Series([self.joined(x) if len(x) > 1 else x[0][1] for x in found], index=texts.index, dtype=object)
 
         return run(text)
 

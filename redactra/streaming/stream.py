@@ -49,15 +49,20 @@ def admitted(times: list[float], tokens: float, last: float | None, per_minute:
     return out, tokens, last
 
 
-def rate_limited(stream: DataFrame, key: str, time_col: str, per_minute: float = 20.0) -> DataFrame:
-    """(key, at, allowed) of every request. State is two numbers for each key."""
+def rate_limited(stream: DataFrame, key: str, time_col: str, per_minute: float = 20.0, idle: float = 600.0) -> DataFrame:
+    """(key, at, allowed) of every request. State is two numbers for each key, dropped after ``idle`` seconds without a request,
+    when its bucket has long been full again; a key that comes back starts with a full one."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tokens, last = state.get if state.exists else (per_minute, None)
         times = sorted(t for pdf in batches for t in pdf["at"])
         ok, tokens, last = admitted(times, tokens, last, per_minute)
         state.update((tokens, last))
+        state.setTimeoutDuration(int(max(idle, 60.0) * 1000))
         yield pd.DataFrame({"key": [k[0]] * len(ok), "at": times, "allowed": ok})
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(time_col).cast("timestamp").cast("double").alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, at double, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, at double, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)

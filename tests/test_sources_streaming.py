@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,29 @@ def test_http_detector(spark):
     assert [len(r["s"]) for r in got] == [1, 0]
 
 
+def test_long_texts_reach_the_service_whole():
+    """Parts overlap; spans come back in the whole text's places, once."""
+    d = readers.HttpDetector("http://none", longest=50, overlap=10)
+    text = "".join(f"{i:04d} " for i in range(60))
+    parts = d.parts(text)
+    assert all(len(p) <= 50 for _, p in parts) and {i for at, p in parts for i in range(at, at + len(p))} == set(range(len(text)))
+    spans = lambda p: [{"start": m.start(), "end": m.end(), "label": "CVC", "score": 1.0} for m in re.finditer(r"(?<!\d)\d{4}(?= )", p)]
+    got = d.joined([(at, spans(p)) for at, p in parts])
+    assert [text[s["start"] : s["end"]] for s in got] == [f"{i:04d}" for i in range(60)]
+    assert d.parts("") == [(0, "")] and d.parts("x" * 50) == [(0, "x" * 50)]
+
+
+def test_order_is_by_file_and_place(spark, tmp_path):
+    (tmp_path / "b.jsonl").write_text("".join(f'{{"text": "b{i}"}}\n' for i in range(2000)))
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"text": "a{i}"}}\n' for i in range(30)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = readers.with_order(spark.read.schema("text string").json([str(tmp_path / "b.jsonl"), str(tmp_path / "a.jsonl")]))
+        assert [r["text"] for r in df.orderBy("ord").collect()] == [f"a{i}" for i in range(30)] + [f"b{i}" for i in range(2000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_leak_splits_and_errors(spark, tmp_path):
     train = spark.createDataFrame([("a",)], "text string")
     test = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, text string")
