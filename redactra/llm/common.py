@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,28 +38,60 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-#: Paths of the tables that ``written`` has made in this process, in order.
-MADE: list[str] = []
+_open = threading.local()
+
+
+@contextmanager
+def made():
+    """Collects the paths of the tables that ``written`` makes inside, in this thread; a list, in order."""
+    outer, paths = getattr(_open, "paths", None), []
+    _open.paths = paths
+    try:
+        yield paths
+    finally:
+        _open.paths = outer
+        if outer is not None:
+            outer.extend(paths)
+
+
+#: Rows and bytes of an Arrow batch while a table is written: rows may hold whole texts or arrays.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Queries planned inside hand rows to Python in batches within ``BATCH``, or within the session's bounds where these are tighter."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    tight = lambda k: before[k] and before[k].isdigit() and 0 < int(before[k]) < int(BATCH[k])
+    try:
+        for k, v in BATCH.items():
+            if not tight(k):
+                spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    MADE.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    if (paths := getattr(_open, "paths", None)) is not None:
+        paths.append(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_made(spark: SparkSession, start: int, end: int | None = None, keep: int = 0) -> None:
-    """Removes tables MADE[start:end] but the last ``keep``, once no result reads them; finished shuffles' files go too.
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that no result reads any more; finished shuffles' files go too.
 
     Spark removes shuffle files when the driver has collected the objects that stand for them, so it is asked to.
     """
     jvm = spark.sparkContext._jvm
-    stop = (len(MADE) if end is None else end) - keep
-    for i in range(start, stop):
-        path = jvm.org.apache.hadoop.fs.Path(MADE[i])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     jvm.System.gc()
