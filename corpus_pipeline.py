@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactra.llm import ngram_jaccard, packing, raking, robust_quality, weak_toxicity
-from redactra.llm.common import MADE, documents, drop_made, remainder, written
+from redactra.llm.common import documents, drop_tables, made, remainder, written
 
 
-#: Which tables a stage's operator has left behind its result: MADE[from:to].
-LEFT: dict[str, tuple[int, int]] = {}
+#: Which tables each stage's operator has left behind its result, by thread: two runs at once don't touch each other's.
+LEFT: dict[tuple[int, str], list[str]] = {}
 
 
 def after(before: str | None) -> Callable:
@@ -26,11 +27,11 @@ def after(before: str | None) -> Callable:
     def wrap(stage: Callable) -> Callable:
         @wraps(stage)
         def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            if before in LEFT:
-                drop_made(spark, *LEFT.pop(before))
-            start = len(MADE)
-            out = stage(spark, docs, sf_dir)
-            LEFT[stage.__name__] = (start, len(MADE))
+            if paths := LEFT.pop((get_ident(), before), None):
+                drop_tables(spark, paths)
+            with made() as paths:
+                out = stage(spark, docs, sf_dir)
+            LEFT[get_ident(), stage.__name__] = paths
             return out
 
         return run
@@ -48,14 +49,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents predicted toxic go. Ratings of the training folds come from ``labels``."""
     labels = documents(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 3) != 1)
-    model = weak_toxicity.train(docs, labels)
-    return weak_toxicity.score(docs, model, keep=docs.columns).filter("_predicted = 0").select(*docs.columns)
+    return weak_toxicity.keep_clean(docs, labels)
 
 
 @after("toxicity")
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each component of five-word shingle sets with similarity 0.8 or more, the first document stays."""
-    return ngram_jaccard.keep_one(docs, 5, 80, finish="arrays")
+    """N-gram Jaccard join: of each component of five-word shingle sets with similarity 0.8 or more, the first row stays."""
+    return ngram_jaccard.keep_one(docs, 5, 80)
 
 
 @after("near_copies")
