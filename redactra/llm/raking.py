@@ -1,9 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Documents fall into cells (source, language, topic). Raking multiplies each cell's token weight by one factor for each of
-its three margins until the weighted token totals meet the target shares of every margin. Documents are then sampled:
-each is kept with its cell's calibrated probability, decided by a hash of its id, so reruns and lost executors change
-nothing.
+its three margins until the weighted token totals meet the target shares of every margin. Documents are then sampled by
+calibrated probabilities: the same raking with a bound of 1 on each cell, so that it is the expected sample that has the
+target shares. A hash of the id decides, so reruns and lost executors change nothing.
+
+The topic is a column, or else a stand-in by form (legal lines, records, tables, prose) that three fixed patterns tell.
 
 The cell table is a partial aggregate, far smaller than the documents. Up to ``local_cells`` cells are raked in the
 driver's memory; beyond that the same sweeps run as DataFrame joins on the cell table. Both give the same factors up to
@@ -11,7 +13,8 @@ rounding. The number of cells is counted first.
 
 Defined results: a null source, language or text is a category or an empty text of its own; a margin's category without
 tokens gets no share and the rest is scaled to one; categories of the table that a given target lacks get share 0, and
-their documents probability 0; an empty table gives an empty result. Repeated rows of one id share one decision.
+their documents probability 0; an empty table gives an empty result. Repeated rows of one id share one decision; rows
+without an id are told by their text. Raking that ends unconverged after ``SWEEPS`` sweeps says so by its residual.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import SPACES, small, written
+from .common import SPACES, drop_tables, fresh_names, made, small, written
 
 MARGINS = ("source", "lang", "topic")
 NONE = "\x00none"
 SWEEPS, TOLERANCE, LOCAL_CELLS = 200, 1e-9, 200_000
+#: Target shares are token shares to this power; the worst share of the expected sample may be off by so much.
+POWER, NEAR = 0.9, 0.002
 #: The first pattern that a text has names its topic. Fixed values.
 TOPICS = (
     ("legal", r"(?i)\b(licen[sc]e|licensed|copyright|all rights reserved|warrant(y|ies))\b"),
@@ -54,115 +60,169 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return each.select(margin, F.pow("tokens", F.lit(power)).alias("share"))
 
 
-def _rake_local(cells: pd.DataFrame, targets: dict[str, pd.DataFrame]) -> np.ndarray:
+def feasible(cells: DataFrame, targets: dict[str, DataFrame], keep_tokens: float) -> tuple[float, float]:
+    """(all tokens, the most tokens up to ``keep_tokens`` of them with which each category can have its target share)."""
+    total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    goal = keep_tokens * total
+    for m in MARGINS:
+        have = cells.groupBy(m).agg(F.sum("tokens").alias("have")).filter("have > 0").join(targets[m], m).filter("share > 0")
+        shares, least = have.agg(F.sum("share"), F.min(F.col("have") / F.col("share"))).first()
+        if shares:
+            goal = min(goal, float(least) * float(shares))
+    return total, goal
+
+
+def _rake_local(cells: pd.DataFrame, targets: dict[str, pd.DataFrame], goal: float | None = None, sweeps: int = SWEEPS) -> tuple[np.ndarray, float]:
+    """(factors, residual): factors with which every margin has its target shares, and how far the worst share is off.
+
+    With a ``goal`` of tokens, min(1, factor) is the probability of a cell's tokens to stay, and it is their expected sums
+    that meet the shares of the goal: each step solves one margin exactly, by Newton's method from the left on a concave
+    function, so the sweeps climb the dual of the bounded problem. Without a goal nothing bounds the factors.
+    """
     base = cells["tokens"].to_numpy(float)
     codes, shares = {}, {}
-    factor = np.ones(len(cells))
     for m in MARGINS:
         codes[m], names = pd.factorize(cells[m])
         share = targets[m].set_index(m)["share"].reindex(names).fillna(0).to_numpy(float)
         there = np.bincount(codes[m], base, len(names)) > 0
         share = np.where(there, share, 0)
         shares[m] = share / (share.sum() or 1)
-    for _ in range(SWEEPS):
-        off = 0.0
+    most = np.inf if goal is None else 1.0
+    want = base.sum() if goal is None else goal
+    factor, off = np.full(len(cells), want / (base.sum() or 1)), 0.0
+    for _ in range(sweeps):
         for m in MARGINS:
-            now = np.bincount(codes[m], base * factor, len(shares[m]))
-            now /= now.sum() or 1
-            off = max(off, float(np.abs(now - shares[m]).max(initial=0)))
-            factor *= np.divide(shares[m], now, out=np.zeros_like(now), where=now > 0)[codes[m]]
+            k, n, aim = codes[m], len(shares[m]), want * shares[m]
+            all_of = np.bincount(k, base * factor, n)
+            by = np.divide(aim, all_of, out=np.zeros(n), where=all_of > 0)
+            for _ in range(50 if goal is not None else 0):
+                full = by[k] * factor >= most
+                room, free = aim - np.bincount(k, base * full, n), np.bincount(k, base * factor * ~full, n)
+                new = np.where((free > 0) & (room > 0), np.divide(room, free, out=by.copy(), where=free > 0), by)
+                if np.allclose(new, by, rtol=1e-12, atol=0):
+                    break
+                by = np.maximum(new, by)
+            factor = factor * by[k]
+        off = max((float(np.abs(np.bincount(codes[m], base * np.minimum(factor, most), len(shares[m])) / (want or 1) - shares[m]).max(initial=0)) for m in MARGINS), default=0.0)
         if off < TOLERANCE:
             break
-    return factor
+    return factor, off
 
 
-def _rake_spread(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """The sweeps as joins, for cell tables beyond the driver's bound; only sums reach the driver, and lineage is cut after each sweep."""
-    now, weight = cells.withColumn("factor", F.lit(1.0)), F.col("tokens") * F.col("factor")
+def _rake_spread(cells: DataFrame, targets: dict[str, DataFrame], goal: float | None = None, sweeps: int = SWEEPS, inner: int = 4) -> tuple[DataFrame, float]:
+    """The same as joins, for cell tables beyond the driver's bound; only sums reach the driver, and lineage is cut after each sweep."""
+    total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    want = total if goal is None else goal
+    goals = {}
+    for m in MARGINS:
+        have = cells.groupBy(m).agg(F.sum("tokens").alias("have")).filter("have > 0").join(targets[m], m, "left").fillna(0.0, ["share"])
+        have = written(have.select(m, "share"), "rake")
+        shares = have.agg(F.sum("share")).first()[0]
+        if not total or not shares:
+            return cells.withColumn("factor", F.lit(0.0)), 0.0
+        goals[m] = have.select(m, (F.col("share") / shares * want).alias("aim"))
+    now, off = cells.withColumn("factor", F.lit(want / total)), 0.0
+    last: list[str] = []
     for _ in range(sweeps):
-        off = 0.0
-        for m in MARGINS:
-            have = now.groupBy(m).agg(F.sum(weight).alias("have")).filter("have > 0")
-            goal = written(have.join(targets[m], m, "left").fillna(0.0, ["share"]), "rake")
-            total, shares = goal.agg(F.sum("have"), F.sum("share")).first()
-            if not total or not shares:
-                return now
-            by = F.col("share") / shares * total / F.col("have")
-            off = max(off, goal.agg(F.max(F.abs((by - 1) * F.col("have") / total))).first()[0])
-            now = now.join(goal.select(m, by.alias("by")), m, "left").withColumn("factor", F.col("factor") * F.coalesce("by", F.lit(0.0))).drop("by")
-        now = written(now, "rake")
+        with made() as paths:
+            for m in MARGINS:
+                q = F.col("factor") * F.coalesce("by", F.lit(0.0))
+                start = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have")).filter("have > 0")
+                by = start.join(goals[m], m).select(m, "aim", (F.col("aim") / F.col("have")).alias("by"))
+                for _ in range(inner if goal is not None else 0):
+                    each = now.join(by, m).groupBy(m, "aim", "by").agg(F.sum(F.when(q >= 1, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(q < 1, F.col("tokens") * F.col("factor")).otherwise(0.0)).alias("free"))
+                    room = F.col("aim") - F.col("full")
+                    by = written(each.select(m, "aim", F.when((F.col("free") > 0) & (room > 0), F.greatest("by", room / F.col("free"))).otherwise(F.col("by")).alias("by")), "rake")
+                now = now.join(by.select(m, "by"), m, "left").withColumn("factor", q).drop("by")
+            now = written(now, "rake")
+        stays = F.col("tokens") * (F.least("factor", F.lit(1.0)) if goal is not None else F.col("factor"))
+        off = max(now.groupBy(m).agg(F.sum(stays).alias("have")).join(goals[m], m).agg(F.max(F.abs(F.col("have") - F.col("aim")))).first()[0] for m in MARGINS) / want
+        drop_tables(cells.sparkSession, [*last, *paths[:-1]])
+        last = paths[-1:]
         if off < TOLERANCE:
             break
-    return now
+    return now, off
 
 
-def calibrate(df: DataFrame, keep_tokens: float = 0.8, power: float = 0.7, targets: dict[str, DataFrame] | None = None, local_cells: int = LOCAL_CELLS) -> DataFrame:
-    """The cells with raked factors and the probability to keep a document: (source, lang, topic, docs, tokens, factor, probability).
+def calibrate(df: DataFrame, keep_tokens: float = 0.8, power: float = POWER, targets: dict[str, DataFrame] | None = None, local_cells: int = LOCAL_CELLS) -> DataFrame:
+    """The cells: (source, lang, topic, docs, tokens, factor, probability, residual).
 
-    df has MARGINS (no nulls) and ``n_tokens``. Probabilities are proportional to the factors, at most 1, and scaled so
-    that ``keep_tokens`` of all tokens are expected to stay; what cells at 1 can't take goes to the others.
+    df has MARGINS (no nulls) and ``n_tokens``. ``factor`` is the raked weight. ``probability``, to keep a document, is raked
+    with its bound of 1: the tokens that are expected to stay have the target shares. ``keep_tokens`` of all tokens stay, or
+    as many as there are with which the shares can be had: no category can give more than it has, and where categories
+    stand in each other's way the total is lowered by tenths until the worst share is off by at most ``NEAR``. ``residual`` is
+    that share's distance, also where nothing helped.
     """
     cells = written(df.groupBy(*MARGINS).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")), "cells")
     goals = {m: tempered(cells, m, power) for m in MARGINS} | (targets or {})
     spark = df.sparkSession
-    if cells.count() <= local_cells:
-        local = cells.toPandas().sort_values(list(MARGINS), ignore_index=True)
-        local["factor"] = _rake_local(local, {m: g.toPandas() for m, g in goals.items()}) if len(local) else 0.0
-        raked = spark.createDataFrame(local, cells.schema.add("factor", "double")) if len(local) else cells.withColumn("factor", F.lit(0.0))
-    else:
-        raked = written(_rake_spread(cells, goals), "raked")
-    # The scale s with sum(min(1, s * factor) * tokens) = keep_tokens * total, by bisection on one aggregate of few rows or many.
-    total, most = raked.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("factor"), F.lit(0.0))).first()
-    s = _scale(raked, keep_tokens * total, most) if total and most else 0.0
-    return raked.withColumn("probability", F.least(F.lit(1.0), F.col("factor") * F.lit(float(s))))
-
-
-def _scale(raked: DataFrame, goal: float, most: float) -> float:
-    """Each pass evaluates 64 candidates at once, as one aggregate."""
-    low, high = 0.0, 1.0 / most
-    some = raked.filter("factor > 0").agg(F.sum("tokens"), F.min("factor")).first()
-    if some[0] <= goal:
-        return 1.0 / some[1]
-    high = 1.0 / some[1]
-    for _ in range(6):
-        grid = [low + (high - low) * i / 64 for i in range(1, 65)]
-        row = raked.agg(*(F.sum(F.least(F.lit(1.0), F.col("factor") * F.lit(g)) * F.col("tokens")) for g in grid)).first()
-        k = next((i for i, v in enumerate(row) if v >= goal), 63)
-        low, high = (grid[k - 1] if k else low), grid[k]
-    return (low + high) / 2
+    schema = StructType([*cells.schema, *(StructField(c, DoubleType()) for c in ("factor", "probability", "residual"))])
+    n = cells.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+    _, goal = feasible(cells, goals, keep_tokens)
+    tries = [goal * 0.9**k for k in range(12)] if goal > 0 else []
+    if n <= local_cells:
+        local, near = cells.toPandas().sort_values(list(MARGINS), ignore_index=True), {m: g.toPandas() for m, g in goals.items()}
+        local["factor"], _ = _rake_local(local, near)
+        found = min(((off > NEAR, k if off <= NEAR else off, p, off) for k, t in enumerate(tries) for p, off in [_rake_local(local, near, t)]), key=lambda x: x[:2], default=(0, 0, np.zeros(n), 0.0))
+        local["probability"], local["residual"] = np.minimum(found[2], 1.0), found[3]
+        return spark.createDataFrame(local, schema)
+    raked, off = _rake_spread(cells, goals)
+    best = None
+    for t in tries:
+        some, off = _rake_spread(cells, goals, t)
+        if best is None or off < best[1]:
+            best = some, off
+        if off <= NEAR:
+            break
+    some, off = best or (raked.withColumn("factor", F.lit(0.0)), 0.0)
+    out = raked.join(some.select(*MARGINS, F.least("factor", F.lit(1.0)).alias("probability")), list(MARGINS))
+    return written(out.withColumn("residual", F.lit(float(off))).select(*schema.names), "raked")
+
+
+def achieved(cells: DataFrame, power: float = POWER, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(margin, category, target, expected): the shares aimed at, and those of the tokens that are expected to stay."""
+    out = None
+    for m in MARGINS:
+        goal = (targets or {}).get(m, None)
+        each = cells.groupBy(m).agg(F.sum(F.col("tokens") * F.col("probability")).alias("stay"), F.sum("tokens").alias("tokens")).join(tempered(cells, m, power) if goal is None else goal, m, "left").fillna(0.0, ["share"])
+        sums = each.agg(F.sum("stay").alias("stays"), F.sum("share").alias("shares"))
+        one = each.crossJoin(F.broadcast(sums)).select(F.lit(m).alias("margin"), F.col(m).alias("category"), (F.col("share") / F.col("shares")).alias("target"), (F.col("stay") / F.col("stays")).alias("expected"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def with_cells(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
-    """(id, source, lang, topic, n_tokens); the topic is derived from the text where no column has it."""
+    """(id, source, lang, topic, n_tokens, draw); the topic is derived from the text where no column has it."""
     cells = _cell_columns(text_col, source_col, lang_col, topic_col)
-    return df.select(F.col(id_col), *(c.alias(m) for m, c in zip(MARGINS, cells, strict=True)), n_tokens(F.col(text_col)).alias("n_tokens"))
+    return df.select(F.col(id_col).alias("id"), *(c.alias(m) for m, c in zip(MARGINS, cells, strict=True)), n_tokens(F.col(text_col)).alias("n_tokens"), draw(F.col(id_col), F.col(text_col)).alias("draw"))
 
 
-def draw(doc_id: Column, seed: int = 17) -> Column:
-    """A number in [0, 1) from the id alone."""
-    return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / F.lit(float(1 << 53))
+def draw(*key: Column, seed: int = 17) -> Column:
+    """A number in [0, 1) from the first of ``key`` that isn't null."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(*(k.cast("string") for k in key)), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix(df: DataFrame, keep_tokens: float = 0.8, power: float = 0.7, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", **cols) -> DataFrame:
+def mix(df: DataFrame, keep_tokens: float = 0.8, power: float = POWER, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", **cols) -> DataFrame:
     """Every document with its cell, weight and probability, and whether the sample has it: (id, source, lang, topic, n_tokens, weight, probability, kept)."""
     each = written(with_cells(df, id_col, **cols), "mix")
     # The cells are written, so that they are counted before they are broadcast.
     cells = small(written(calibrate(each, keep_tokens, power, targets), "calibrated"))
     joined = each.join(cells.select(*MARGINS, F.col("factor").alias("weight"), "probability"), list(MARGINS), "left")
-    joined = joined.withColumn("kept", F.coalesce(draw(F.col(id_col)) < F.col("probability"), F.lit(False)))
+    joined = joined.withColumn("kept", F.coalesce(F.col("draw") < F.col("probability"), F.lit(False)))
     shown = [F.when(F.col(m) == NONE, None).otherwise(F.col(m)).alias(m) for m in MARGINS]
-    return joined.select(id_col, *shown, "n_tokens", "weight", "probability", "kept")
+    return joined.select(F.col("id").alias(id_col), *shown, "n_tokens", "weight", "probability", "kept")
 
 
 def sample(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The sampled documents, with all columns of ``df``."""
     text, source, lang, topic_col = (options.pop(k, d) for k, d in (("text_col", "text"), ("source_col", "source"), ("lang_col", "lang"), ("topic_col", None)))
     cells = small(written(calibrate(written(with_cells(df, id_col, text, source, lang, topic_col), "mix"), **options), "calibrated"))
-    key = [f"_cell_{m}" for m in MARGINS]
+    *key, probability = fresh_names(df.columns, *MARGINS, "probability")
     mine = df.select("*", *(c.alias(k) for k, c in zip(key, _cell_columns(text, source, lang, topic_col), strict=True)))
-    keep = cells.select(*(F.col(m).alias(k) for m, k in zip(MARGINS, key, strict=True)), F.col("probability").alias("_cell_probability"))
-    out = mine.join(keep, key, "left").filter(draw(F.col(id_col)) < F.col("_cell_probability"))
-    return out.select(*(df[c] for c in df.columns))
+    keep = cells.select(*(F.col(m).alias(k) for m, k in zip(MARGINS, key, strict=True)), F.col("probability").alias(probability))
+    return mine.join(keep, key, "left").filter(draw(F.col(id_col), F.col(text)) < F.col(probability)).select(*df.columns)
 
 
 def _cell_columns(text_col: str, source_col: str, lang_col: str, topic_col: str | None) -> list[Column]:
