@@ -1,16 +1,18 @@
 """Quality rules by robust multivariate outliers, in DataFrame operations only.
 
 A document's statistics (words, symbols, capitals, repeats) become a vector of transformed shares. For each language and
-source the minimum-covariance-determinant estimate of centre and scatter is found by concentration steps: from medians
-and quartiles on, the ``CORE`` share of rows with the smallest distances gives the next mean and covariance. A document
-goes when its squared Mahalanobis distance is beyond a chi-squared quantile, or when it fails the base rules.
+source the minimum-covariance-determinant estimate of centre and scatter is found by concentration steps: the ``CORE``
+share of rows with the smallest distances gives the next mean and covariance. Of two starts that with the smaller
+determinant after ``TRIAL`` steps goes on. A document goes when its squared Mahalanobis distance is beyond a chi-squared quantile, or when it fails the base rules.
 
-Moments and quantiles are partial aggregates, so a hot source costs one row for each task in the shuffle. Distances come
+Moments are partial aggregates, and quantiles are read from counts by fixed bins, so a hot source costs a task one row for
+each bin at most in the shuffle. Distances come
 from a Cholesky factor written out as column expressions.
 
 Defined results: a null or empty text has no words, fails the base rules and isn't kept. Rows that fail the base rules
 take no part in the estimates. Null languages and sources are groups of their own. Groups below ``SMALL`` rows are judged
-by their language's rows from all such groups, and if these are few as well, by those of all such languages. Repeated
+by their language's rows from all such groups, and if these are few as well, by those of all such languages; the column
+``pooled`` tells. Repeated
 rows count as often as they occur. ``FLOOR`` bounds each statistic's spread from below, so ties, one row or a constant
 column give no singular matrix.
 """
@@ -20,13 +22,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, small, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-CORE, STEPS, SMALL = 0.75, 4, 200
+CORE, STEPS, TRIAL, SMALL = 0.75, 4, 2, 200
+#: Bins for one of a statistic, and for a doubling of a squared distance, in which quantiles are found.
+BINS, D2_BINS = 2000, 256
 #: Tables of at most so many groups are broadcast.
 MANY = 100_000
 QUANTILE, REWEIGHT = 0.99999, 0.975
@@ -95,23 +99,25 @@ def statistics(text: Column) -> Column:
 
 
 def with_statistics(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default: all columns) plus a struct ``_q``: counts, base verdict, group names and the transformed vector."""
+    """(row, q): a struct of ``keep`` (default: all columns), so that no column's name clashes with another; and a struct of
+    counts, base verdict, group names and the transformed vector."""
     none = "\x00none"
-    s = statistics(F.col(text_col))
-    named = df.select(*(df.columns if keep is None else keep), F.coalesce(F.col(lang_col).cast("string"), F.lit(none)).alias("_lang"), F.coalesce(F.col(source_col).cast("string"), F.lit(none)).alias("_source"), s.alias("_s"))
-    n, chars = F.col("_s.n_words"), F.greatest(F.col("_s.word_chars"), F.lit(1))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(none))
+    row = F.struct(*(F.col(f"`{c}`") for c in (df.columns if keep is None else keep)))
+    named = df.select(row.alias("row"), name(lang_col).alias("lang"), name(source_col).alias("source"), statistics(F.col(text_col)).alias("s"))
+    n, chars = F.col("s.n_words"), F.greatest(F.col("s.word_chars"), F.lit(1))
     words = F.greatest(n, F.lit(1))
-    failed = (n < MIN_WORDS) | (100 * F.col("_s.n_repeat_words") > MAX_REPEAT_PERCENT * n)
+    failed = (n < MIN_WORDS) | (100 * F.col("s.n_repeat_words") > MAX_REPEAT_PERCENT * n)
     vector = [
         F.log(chars / words),
-        F.sqrt(F.col("_s.n_symbols") / chars),
-        F.sqrt(F.col("_s.n_capitals") / chars),
-        F.sqrt(F.col("_s.n_marks") / chars),
-        F.sqrt(F.col("_s.n_repeat_words") / words),
-        F.when(words < 2, 1.0).otherwise(F.log(F.greatest(F.col("_s.n_distinct"), F.lit(1)).cast("double")) / F.log(words.cast("double"))),
+        F.sqrt(F.col("s.n_symbols") / chars),
+        F.sqrt(F.col("s.n_capitals") / chars),
+        F.sqrt(F.col("s.n_marks") / chars),
+        F.sqrt(F.col("s.n_repeat_words") / words),
+        F.when(words < 2, 1.0).otherwise(F.log(F.greatest(F.col("s.n_distinct"), F.lit(1)).cast("double")) / F.log(words.cast("double"))),
     ]
-    x = F.struct("_s.*", failed.alias("base_failed"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), *(v.alias(d) for v, d in zip(vector, DIMS, strict=True)))
-    return named.select("*", x.alias("_q")).drop("_s", "_lang", "_source")
+    q = F.struct("s.*", failed.alias("base_failed"), "lang", "source", *(v.alias(d) for v, d in zip(vector, DIMS, strict=True)))
+    return named.select("row", q.alias("q"))
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -154,16 +160,18 @@ def _factored(moments: DataFrame) -> DataFrame:
     return out.select("grp", *(f"m_{d}" for d in DIMS), *(f"l_{i}_{j}" for i in range(len(DIMS)) for j in range(i + 1)))
 
 
-def _distances(rows: DataFrame, factored: DataFrame) -> DataFrame:
-    """rows plus d2, the squared Mahalanobis distance, by forward substitution."""
-    out = rows.join(factored, "grp", "left")
+def _d2(out: DataFrame) -> DataFrame:
+    """Rows with their group's centre and factor, plus d2, the squared Mahalanobis distance, by forward substitution."""
     for i, d in enumerate(DIMS):
         rest = F.col(d) - F.col(f"m_{d}")
         for k in range(i):
             rest = rest - F.col(f"l_{i}_{k}") * F.col(f"_z{k}")
         out = out.withColumn(f"_z{i}", rest / F.col(f"l_{i}_{i}"))
-    d2 = sum((F.col(f"_z{i}") ** 2 for i in range(1, len(DIMS))), F.col("_z0") ** 2)
-    return out.select(*rows.columns, d2.alias("d2"))
+    return out.withColumn("d2", sum((F.col(f"_z{i}") ** 2 for i in range(1, len(DIMS))), F.col("_z0") ** 2))
+
+
+def _distances(rows: DataFrame, factored: DataFrame) -> DataFrame:
+    return _d2(rows.join(factored, "grp", "left")).select(*rows.columns, "d2")
 
 
 def _grouped(q: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,22 +186,65 @@ def _grouped(q: DataFrame) -> tuple[DataFrame, DataFrame]:
     return names, rows
 
 
+def _quantiles(binned: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """(keys, one column b<i> for each share): the bins in which the shares of each key's rows end.
+
+    Rows are summed by key and bin on the map side, so a hot group costs a task as many rows as it has bins, and only a
+    group's bins, whose number is bounded, meet in one place.
+    """
+    counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin")))
+    total = F.max("upto").over(Window.partitionBy(*keys))
+    ends = upto.withColumn("total", total)
+    return ends.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") >= F.greatest(F.lit(1.0), F.ceil(F.col("total") * a)), F.col("bin"))).alias(f"b{i}") for i, a in enumerate(shares)))
+
+
+def _d2_bin(d2: Column) -> Column:
+    """Bins of 0.27 % width."""
+    return F.floor(F.log2(F.greatest(d2, F.lit(1e-9))) * D2_BINS).cast("int")
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """The first start: medians, and quartiles as spreads."""
+    bins = F.array(*(F.floor(F.col(d) * BINS).cast("int") for d in DIMS))
+    found = _quantiles(rows.select("grp", F.posexplode(bins).alias("dim", "bin")), ["grp", "dim"], [0.25, 0.5, 0.75])
+    at = lambda c: (F.col(c) + 0.5) / BINS
+    each = found.groupBy("grp").agg(*(F.max(F.when(F.col("dim") == i, at(f"b{k}"))).alias(f"_{i}_{k}") for i in range(len(DIMS)) for k in range(3)))
+    spread = lambda i, d: F.greatest((F.col(f"_{i}_2") - F.col(f"_{i}_0")) / 1.349, F.lit(FLOOR[d]))
+    factor = [(spread(i, d) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, d in enumerate(DIMS) for j in range(i + 1)]
+    return each.select("grp", *(F.col(f"_{i}_1").alias(f"m_{d}") for i, d in enumerate(DIMS)), *factor)
+
+
 def estimate(q: DataFrame, core: float = CORE, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
-    """Group names, and each group's reweighted MCD centre and Cholesky factor."""
+    """Group names, and each group's reweighted MCD centre and Cholesky factor.
+
+    Two starts (medians and quartiles; mean and covariance of all rows) make ``TRIAL`` concentration steps side by side; the
+    one with the smaller determinant goes on to ``steps`` in all.
+    """
     names, rows = _grouped(q)
     # There are no more groups than rows of names, whose number is looked at once.
     hint = F.broadcast if names.limit(MANY + 1).count() <= MANY else (lambda table: table)
     p = len(DIMS)
-    quartiles = [F.percentile_approx(d, [0.25, 0.5, 0.75]).alias(f"_p{i}") for i, d in enumerate(DIMS)]
-    first = rows.groupBy("grp").agg(*quartiles)
-    zero = [(F.lit(0.0) if i != j else F.greatest((F.col(f"_p{i}")[2] - F.col(f"_p{i}")[0]) / 1.349, F.lit(FLOOR[a]))).alias(f"l_{i}_{j}") for i, a in enumerate(DIMS) for j in range(i + 1)]
-    now = written(first.select("grp", *(F.col(f"_p{i}")[1].alias(f"m_{d}") for i, d in enumerate(DIMS)), *zero), "mcd")
     consistent = core / chi2_cdf(chi2_quantile(core, p), p + 2)
-    for _ in range(steps):
-        near = _distances(rows, hint(now))
-        cut = written(near.groupBy("grp").agg(F.percentile_approx("d2", core).alias("cut")), "mcd")
-        inner = near.join(hint(cut), "grp").filter(F.col("d2") <= F.col("cut"))
-        now = written(_factored(_moments(inner, consistent)), "mcd")
+
+    def step(some: DataFrame, now: DataFrame) -> DataFrame:
+        near = _distances(some, hint(now)).withColumn("bin", _d2_bin(F.col("d2")))
+        cut = hint(_quantiles(near, ["grp"], [core]))
+        return written(_factored(_moments(near.join(cut, "grp").filter(F.col("bin") <= F.col("b0")), consistent)), "mcd")
+
+    both = _factored(_moments(rows, 1.0))
+    named = lambda df, k: df.withColumn("grp", F.concat("grp", F.lit(f":{k}")))
+    now = written(named(_first(rows), 0).unionByName(named(both, 1)), "mcd")
+    twice = rows.withColumn("grp", F.explode(F.array(F.concat("grp", F.lit(":0")), F.concat("grp", F.lit(":1")))))
+    for _ in range(TRIAL):
+        now = step(twice, now)
+    # The logarithm of the determinant; of equal ones the first start goes on.
+    size = F.round(sum((F.log(f"l_{i}_{i}") for i in range(1, p)), F.log("l_0_0")), 9)
+    base = F.expr("substring(grp, 1, length(grp) - 2)")
+    best = now.groupBy(base.alias("base")).agg(F.min(F.struct(size.alias("size"), "grp")).alias("best"))
+    now = written(now.join(best.select(F.col("best.grp").alias("grp")), "grp", "left_semi").withColumn("grp", base), "mcd")
+    for _ in range(steps - TRIAL):
+        now = step(rows, now)
     inner = _distances(rows, hint(now)).filter(F.col("d2") <= chi2_quantile(REWEIGHT, p))
     again = REWEIGHT / chi2_cdf(chi2_quantile(REWEIGHT, p), p + 2)
     final = _factored(_moments(inner, again))
@@ -203,32 +254,28 @@ def estimate(q: DataFrame, core: float = CORE, steps: int = STEPS) -> tuple[Data
 
 
 def judged(table: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``table`` (with ``_q``, best read from storage: it is read several times) plus ``distance`` and ``kept``."""
-    names, now = estimate(table.select("_q.*"))
-    flat = table.select("*", *(F.col(f"_q.{c}").alias(f"_f_{c}") for c in ("lang", "source")))
-    named = names.select(F.col("lang").alias("_f_lang"), F.col("source").alias("_f_source"), F.col("grp"))
-    groups = small(written(named.join(now, "grp", "left").drop("grp"), "groups"))
-    out = flat.join(groups, ["_f_lang", "_f_source"], "left")
-    z: list[str] = []
-    for i, d in enumerate(DIMS):
-        rest = F.col(f"_q.{d}") - F.col(f"m_{d}")
-        for k in range(i):
-            rest = rest - F.col(f"l_{i}_{k}") * F.col(z[k])
-        out = out.withColumn(f"_z{i}", rest / F.col(f"l_{i}_{i}"))
-        z.append(f"_z{i}")
-    d2 = sum((F.col(c) ** 2 for c in z[1:]), F.col(z[0]) ** 2)
-    kept = ~F.col("_q.base_failed") & F.coalesce(d2 <= chi2_quantile(quantile, len(DIMS)), F.lit(False))
-    return out.select(*table.columns, F.sqrt(d2).alias("_distance"), kept.alias("_kept"))
+    """(row, q, distance, pooled, kept) from ``with_statistics``, best read from storage: it is read several times.
+
+    ``pooled`` says by whose rows a document was judged: ``source`` (its language and source), ``lang`` or ``all``.
+    """
+    names, now = estimate(table.select("q.*"))
+    groups = small(written(names.join(now, "grp", "left"), "groups"))
+    vectors = table.select("row", "q", F.col("q.lang").alias("lang"), F.col("q.source").alias("source"), *(F.col(f"q.{d}").alias(d) for d in DIMS))
+    out = vectors.join(groups, ["lang", "source"], "left")
+    d2 = _d2(out)
+    kept = ~F.col("q.base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(quantile, len(DIMS)), F.lit(False))
+    pooled = F.when(F.col("grp").startswith("s:"), "source").when(F.col("grp").startswith("l:"), "lang").otherwise("all")
+    return d2.select("row", "q", F.sqrt("d2").alias("distance"), pooled.alias("pooled"), kept.alias("kept"))
 
 
 def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", quantile: float = QUANTILE) -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of every document."""
+    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, pooled) of every document."""
     table = written(with_statistics(df, text_col, lang_col, source_col, [id_col]), "statistics")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return judged(table, quantile).select(id_col, *(F.col(f"_q.{c}").alias(c) for c in counts), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))
+    return judged(table, quantile).select("row.*", *(F.col(f"q.{c}").alias(c) for c in counts), "kept", "distance", "pooled")
 
 
 def keep_good(df: DataFrame, **options) -> DataFrame:
     """The documents that pass, with the columns of ``df``; texts and statistics are written once, not shuffled."""
     cols = {k: options.pop(k) for k in ("text_col", "lang_col", "source_col") if k in options}
-    return judged(written(with_statistics(df, **cols), "statistics"), **options).filter("_kept").select(*df.columns)
+    return judged(written(with_statistics(df, **cols), "statistics"), **options).filter("kept").select("row.*")
