@@ -1,24 +1,33 @@
-"""Edit-aware token counts: a segment tree of pre-token counts for each document, updated where edits touch it.
+"""Edit-aware token counts: a kept segment tree of pre-token counts for each document, updated where edits touch it.
 
 A text falls into segments at borders that no token crosses and that hang on the two characters around them alone: a
 space after a non-space begins a segment, so does a letter or other non-space after a line break. A segment's tokens are
 therefore the same wherever it stands, and a document's count is the sum over its segments. The tree's leaves hold
-segments with their lengths and counts, inner nodes hold sums, so an offset is found and a sum is updated in logarithmic
-time. An edit re-encodes the segments that it touches and the boundary context on both sides, nothing else.
+segments' lengths and counts, inner nodes hold sums, so an offset is found and a sum is updated in logarithmic time. An
+edit re-encodes the segments that it touches and the boundary context on both sides, nothing else.
+
+``keep_trees`` encodes each text once and returns its leaves as a column; ``count_edits`` takes trees in, encodes only what
+edits touch and returns the trees as they are then, so batch after batch of edits goes on from kept trees.
 
 Edits are (start, removed, text): code points are removed from ``start`` on, then the text is put there; offsets refer to
-the text as the edits before have left it. Defined results: null and empty texts count 0 tokens and can be edited;
-starts and removals beyond the end stop at the end, negative ones at 0; repeated rows are counted apiece.
+the text as the edits before have left it. Defined results: null and empty texts count 0 tokens and can be edited; a null
+edit changes nothing, a null start or removal is 0 and a null text empty; starts and removals beyond the end stop at the
+end, negative ones at 0; repeated rows are counted apiece. A null tree is made from the text; one that belongs to another
+text (its lengths differ) is an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import slices
+from .common import slices, written
 from .packing import encoder, tokenizer_path
 
 #: A space after a non-space, and a non-space after a single line break that follows a non-space, begin a segment.
@@ -32,118 +41,152 @@ def segments(text: str) -> list[str]:
 
 
 class SegmentTree:
-    """Segments in order in blocks of a list; each node of a flat binary tree over blocks holds (length, tokens, segments)."""
+    """A text and its segments' (length, tokens) in blocks of rows; each node of a flat binary tree over blocks holds their sums.
+
+    ``leaves`` are those of a tree of the same text, from ``pack``; without them the text is encoded.
+    """
 
-    def __init__(self, text: str | None, count, block: int = 64):
-        self.count, self.block, self.encoded = count, block, 0
-        self._fill([(s, self._tokens(s)) for s in segments(text or "")])
+    def __init__(self, text: str | None, count: Callable[[str], int], leaves: bytes | None = None, block: int = 64):
+        self.now, self.count, self.block, self.encoded = text or "", count, block, 0
+        rows = self._encoded(self.now) if leaves is None else np.frombuffer(leaves, "<u4").reshape(-1, 2).astype(np.int64)
+        if int(rows[:, 0].sum()) != len(self.now):
+            raise ValueError("the tree belongs to another text")
+        self._fill(rows)
 
-    def _tokens(self, s: str) -> int:
-        self.encoded += len(s)
-        return self.count(s)
+    def _encoded(self, text: str) -> np.ndarray:
+        self.encoded += len(text)
+        return np.array([(len(s), self.count(s)) for s in segments(text)], np.int64).reshape(-1, 2)
 
-    def _fill(self, items: list[tuple[str, int]]) -> None:
-        self.blocks = [items[i : i + self.block] for i in range(0, len(items), self.block)] or [[]]
+    def _fill(self, rows: np.ndarray) -> None:
+        self.blocks = [rows[i : i + self.block] for i in range(0, len(rows), self.block)] or [rows]
         self.size = 1 << (len(self.blocks) - 1).bit_length()
-        self.length, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, b in enumerate(self.blocks):
-            self.length[self.size + i], self.tokens[self.size + i] = sum(len(s) for s, _ in b), sum(n for _, n in b)
-        for i in range(self.size - 1, 0, -1):
-            self._sum(i)
-
-    def _sum(self, i: int) -> None:
-        self.length[i] = self.length[2 * i] + self.length[2 * i + 1]
-        self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+        self.sums = np.zeros((2 * self.size, 2), np.int64)
+        if len(rows):
+            self.sums[self.size : self.size + len(self.blocks)] = np.add.reduceat(rows, np.arange(0, len(rows), self.block))
+        level = self.size
+        while level > 1:
+            self.sums[level // 2 : level] = self.sums[level : 2 * level].reshape(-1, 2, 2).sum(axis=1)
+            level //= 2
 
     @property
     def n_chars(self) -> int:
-        return self.length[1]
+        return len(self.now)
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
+        return int(self.sums[1, 1])
 
     def text(self) -> str:
-        return "".join(s for b in self.blocks for s, _ in b)
+        return self.now
+
+    def pack(self) -> bytes:
+        """The leaves, to be kept: two little-endian unsigned 32-bit numbers for each segment."""
+        return np.concatenate(self.blocks).astype("<u4").tobytes()
 
     def find(self, at: int) -> tuple[int, int, int]:
         """(block, segment, its start) of the code point at ``at``; the last segment for the end."""
         i, start = 1, 0
         while i < self.size:
             i *= 2
-            if at >= start + self.length[i] and self.length[i + 1]:
-                start += self.length[i]
+            if at >= start + self.sums[i, 0] and self.sums[i + 1, 0]:
+                start += int(self.sums[i, 0])
                 i += 1
         b = i - self.size
-        for k, (s, _) in enumerate(self.blocks[b]):
-            if at < start + len(s) or k == len(self.blocks[b]) - 1:
-                return b, k, start
-            start += len(s)
-        return b, 0, start
+        ends = start + np.cumsum(self.blocks[b][:, 0])
+        k = min(int(np.searchsorted(ends, at, side="right")), max(0, len(ends) - 1))
+        return b, k, start if k == 0 else int(ends[k - 1])
 
     def edit(self, start: int, removed: int, put: str) -> int:
         """Applies one edit and returns the change of the count."""
-        before, n = self.n_tokens, self.n_chars
+        before, n = self.n_tokens, len(self.now)
         start = min(max(start, 0), n)
         end = min(start + max(removed, 0), n)
         # Whole segments around the edit, with the context that borders hang on.
         b0, k0, at0 = self.find(max(0, start - CONTEXT - 1))
         b1, k1, at1 = self.find(min(n, end + CONTEXT))
-        if b0 == b1:
-            old = "".join(s for s, _ in self.blocks[b0][k0 : k1 + 1])
-        else:
-            old = "".join(s for s, _ in [*self.blocks[b0][k0:], *(x for b in self.blocks[b0 + 1 : b1] for x in b), *self.blocks[b1][: k1 + 1]])
-        new = [(s, self._tokens(s)) for s in segments(old[: start - at0] + put + old[end - at0 :])]
+        last = at1 + int(self.blocks[b1][k1, 0]) if len(self.blocks[b1]) else n
+        new = self._encoded(self.now[at0:start] + put + self.now[end:last])
+        self.now = self.now[:start] + put + self.now[end:]
         head, tail = self.blocks[b0][:k0], self.blocks[b1][k1 + 1 :]
         for b in range(b0, b1 + 1):
-            self.blocks[b] = []
-        self.blocks[b0] = head + new + (tail if b0 == b1 else [])
+            self.blocks[b] = new[:0]
+        self.blocks[b0] = np.concatenate([head, new, tail] if b0 == b1 else [head, new])
         if b0 != b1:
             self.blocks[b1] = tail
         for b in range(b0, b1 + 1):
-            i = self.size + b
-            self.length[i], self.tokens[i] = sum(len(s) for s, _ in self.blocks[b]), sum(n for _, n in self.blocks[b])
+            self.sums[self.size + b] = self.blocks[b].sum(axis=0)
         low, high = (self.size + b0) // 2, (self.size + b1) // 2
         while low:
             for i in range(low, high + 1):
-                self._sum(i)
+                self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
             low, high = low // 2, high // 2
         if len(self.blocks[b0]) > 8 * self.block:
-            self._fill([x for b in self.blocks for x in b])
+            self._fill(np.concatenate(self.blocks))
         return self.n_tokens - before
 
 
-def count_edits(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", remember: int = 200_000) -> DataFrame:
-    """(id, n_tokens before, n_tokens_after, n_chars_after, chars_reencoded, text_after) of every document.
+def _counter(path: str, remember: int = 200_000) -> Callable[[str], int]:
+    encode, seen = encoder(path), {}
 
-    ``edits_col`` is an array of structs (start, removed, put), null for none; ``text_after`` is the edited text.
-    """
+    def count(s: str) -> int:
+        if (n := seen.get(s)) is None:
+            if len(seen) >= remember:
+                seen.clear()
+            n = seen[s] = len(encode(s))
+        return n
+
+    return count
+
+
+def keep_trees(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """(id, text, n_tokens, tree) of every document, and its edits if a column has them; ``tree`` holds the leaves."""
     path = path or tokenizer_path()
-    kind = df.schema[id_col].dataType.simpleString()
+    kept = df.select(id_col, text_col, *([edits_col] if edits_col else []))
+    names = [*kept.columns, "n_tokens", "tree"]
 
     def run(batches):
-        encode, seen = encoder(path), {}
+        count = _counter(path)
+        for b in slices(batches):
+            made = [SegmentTree(t, count) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([*b.columns, pa.array([t.n_tokens for t in made], pa.int64()), pa.array([t.pack() for t in made], pa.binary())], names=names)
+
+    return kept.mapInArrow(run, StructType([*kept.schema, StructField("n_tokens", LongType()), StructField("tree", BinaryType())]))
+
 
-        def count(s: str) -> int:
-            if (n := seen.get(s)) is None:
-                if len(seen) >= remember:
-                    seen.clear()
-                n = seen[s] = len(encode(s))
-            return n
+def count_edits(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", tree_col: str | None = None) -> DataFrame:
+    """(id, n_tokens before, n_tokens_after, n_chars_after, chars_reencoded, text_after, tree_after) of every document.
+
+    ``edits_col`` is an array of structs (start, removed, put), null for none; ``tree_col`` has the trees of ``keep_trees``, or
+    of an earlier call, which then spare all encoding but that of what edits touch; ``text_after`` is the edited text.
+    """
+    path = path or tokenizer_path()
+    kind = df.schema[id_col].dataType.simpleString()
+    tree = F.col(tree_col) if tree_col else F.lit(None).cast("binary")
 
+    def run(batches):
+        count = _counter(path)
         for b in slices(batches):
-            cols: list[list] = [[] for _ in range(5)]
-            for text, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                tree = SegmentTree(text, count)
-                before, tree.encoded = tree.n_tokens, 0
+            cols: list[list] = [[] for _ in range(6)]
+            for text, edits, leaves in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                t = SegmentTree(text, count, leaves)
+                before = t.n_tokens
+                # What is re-encoded for edits; without a kept tree the first encoding is no part of it.
+                t.encoded = 0
                 for e in edits or ():
-                    tree.edit(e["start"] or 0, e["removed"] or 0, e["put"] or "")
-                for c, v in zip(cols, (before, tree.n_tokens, tree.n_chars, tree.encoded, tree.text()), strict=True):
+                    if e is not None:
+                        t.edit(e["start"] or 0, e["removed"] or 0, e["put"] or "")
+                for c, v in zip(cols, (before, t.n_tokens, t.n_chars, t.encoded, t.text(), t.pack()), strict=True):
                     c.append(v)
-            yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(),) * 4 + (pa.string(),), strict=True))], names=names)
+            yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (*(pa.int64(),) * 4, pa.string(), pa.binary()), strict=True))], names=names)
+
+    names = [id_col, "n_tokens", "n_tokens_after", "n_chars_after", "chars_reencoded", "text_after", "tree_after"]
+    own = df.select(id_col, text_col, edits_col, tree.alias("kept"))
+    return own.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_tokens_after long, n_chars_after long, chars_reencoded long, text_after string, tree_after binary")
+
 
-    names = [id_col, "n_tokens", "n_tokens_after", "n_chars_after", "chars_reencoded", "text_after"]
-    return df.select(id_col, text_col, edits_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_tokens_after long, n_chars_after long, chars_reencoded long, text_after string")
+def edited(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """``count_edits`` over kept trees: texts are encoded once and written with their trees, and edits are counted from there."""
+    return count_edits(written(keep_trees(df, path, id_col, text_col, edits_col), "trees"), path, id_col, text_col, edits_col, "tree")
 
 
 def sample_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
