@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, written
 
 BLOCK = 64
 #: Bytes of an access unit (a sample in the container's sense), and how many of them follow a keyframe.
@@ -112,17 +112,30 @@ def _table(data: bytes, at: int, end: int, width: int) -> np.ndarray:
     return np.frombuffer(data, ">u4", n * width, at + 4).astype(np.int64).reshape(n, width)
 
 
+def first_track(data: bytes) -> dict[bytes, tuple[int, int]]:
+    """Where the content of the first track's boxes lies, by type; each track is walked by itself."""
+    tracks: list[dict[bytes, tuple[int, int]]] = []
+    for path, a, b in boxes(data):
+        if b"moof" in path:
+            raise ValueError("fragmented: samples are listed outside of moov")
+        if path[-1] == b"trak":
+            tracks.append({})
+        elif b"trak" in path:
+            tracks[-1].setdefault(path[-1], (a, b))
+    if not tracks:
+        raise ValueError("no trak box")
+    if missing := [k for k in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz") if k not in tracks[0]]:
+        raise ValueError(f"no {missing[0].decode()} box")
+    return tracks[0]
+
+
 def demux(data: bytes | None) -> dict:
-    """Columns of FEATURES for the first track of ``data``."""
+    """Columns of FEATURES for the first track of ``data``; memory is bounded by the file's size, whatever its tables claim."""
     out: dict = dict.fromkeys(x.split()[0] for x in FEATURES.split(", "))
     if data is None:
         return out
     try:
-        found: dict[bytes, tuple[int, int]] = {}
-        for path, a, b in boxes(data):
-            found.setdefault(path[-1], (a, b))
-        if missing := [k for k in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz") if k not in found]:
-            raise ValueError(f"no {missing[0].decode()} box")
+        found = first_track(data)
         at = found[b"mdhd"][0]
         out["timescale"], out["duration"] = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
         out["handler"] = data[(h := found[b"hdlr"][0]) + 8 : h + 12].decode("latin-1")
@@ -132,23 +145,33 @@ def demux(data: bytes | None) -> dict:
         fixed, n = struct.unpack_from(">II", data, a + 4)
         if not fixed and a + 12 + 4 * n > b:
             raise ValueError("sample sizes cut short")
-        sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
-        if int((t := _table(data, found[b"stts"][0] + 4, found[b"stts"][1], 2))[:, 0].sum()) != n or int((t[:, 0] * t[:, 1]).sum()) != out["duration"]:
+        # Samples of a fixed size, and the counts of times and chunks, are claims until they are compared with the file.
+        if fixed and n * fixed > len(data):
+            raise ValueError("samples leave the file")
+        if int((t := _table(data, found[b"stts"][0] + 4, found[b"stts"][1], 2))[:, 0].sum()) != n or sum(int(x) * int(y) for x, y in t) != out["duration"]:
             raise ValueError("times and samples differ")
         if b"co64" in found:
-            a, b = found[b"co64"]
-            chunks = np.frombuffer(data, ">u8", struct.unpack_from(">I", data, a + 4)[0], a + 8).astype(np.int64)
+            a8, b8 = found[b"co64"]
+            if a8 + 8 + 8 * (c := struct.unpack_from(">I", data, a8 + 4)[0]) > b8:
+                raise ValueError("sample table cut short")
+            chunks = np.frombuffer(data, ">u8", c, a8 + 8)
+            if c and int(chunks.max()) > len(data):
+                raise ValueError("samples leave the file")
+            chunks = chunks.astype(np.int64)
         elif b"stco" in found:
             chunks = _table(data, found[b"stco"][0] + 4, found[b"stco"][1], 1)[:, 0]
         else:
             raise ValueError("no chunk offsets")
         runs = _table(data, found[b"stsc"][0] + 4, found[b"stsc"][1], 3)
-        each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))) if len(runs) else np.zeros(0, np.int64)
-        if len(each) != len(chunks) or int(each.sum()) != n:
+        spans = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+        if len(runs) and (runs[0, 0] != 1 or (spans < 0).any()) or int((spans * runs[:, 1]).sum()) != n or not len(runs) and len(chunks):
             raise ValueError("chunks and samples differ")
-        first = np.concatenate([[0], np.cumsum(each)])[:-1]
+        sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
+        each = np.repeat(runs[:, 1], spans) if len(runs) else np.zeros(0, np.int64)
         before = np.cumsum(sizes) - sizes
-        starts = np.repeat(chunks - before[first] if n else chunks[:0], each) + before
+        some = each > 0
+        first = np.concatenate([[0], np.cumsum(each[some])])[:-1]
+        starts = np.repeat(chunks[some] - before[first] if n else chunks[:0], each[some]) + before
         if n and int((starts + sizes).max()) > len(data):
             raise ValueError("samples leave the file")
         keys = _table(data, found[b"stss"][0] + 4, found[b"stss"][1], 1)[:, 0] - 1 if b"stss" in found else np.arange(n)
@@ -156,8 +179,8 @@ def demux(data: bytes | None) -> dict:
             raise ValueError("keyframe without a sample")
         out["keyframes"] = [{"start": int(s), "end": int(s + z)} for s, z in zip(starts[keys], sizes[keys], strict=True)]
         out |= {"n_samples": n, "payload_offset": int(starts[0]) if n else None, "payload_bytes": int(sizes.sum())}
-    except (ValueError, struct.error, IndexError) as e:
-        return dict.fromkeys(out) | {"error": str(e)}
+    except (ValueError, struct.error, IndexError, OverflowError, MemoryError) as e:
+        return dict.fromkeys(out) | {"error": str(e) or type(e).__name__}
     return out
 
 
@@ -195,23 +218,25 @@ def probe(df: DataFrame, media_col: str = "media") -> DataFrame:
     return df.withColumn("probe", walk(media_col))
 
 
-def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text in a container, reads the container back and returns digests and features of what was read."""
+def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Digests and features of the stored containers (id, n_bytes, media), computed from the bytes that are read."""
 
     def run(batches):
-        for b in slices(batches):
-            cols: list[list] = [[] for _ in range(8)]
-            for text in b.column(1).to_pylist():
-                raw = (text or "").encode()
-                media = mux(pad(raw))
-                x = demux(media)
-                back = payload(media)
+        for b in slices(batches, 200):
+            cols: list[list] = [[] for _ in range(7)]
+            for media in map(pa.BinaryScalar.as_py, b.column(2)):
+                x, back = demux(media), payload(media)
                 feature = f"codec={x['codec']};handler={x['handler']};timescale={x['timescale']};duration={x['duration']};samples={x['n_samples']};keyframes=" + ",".join(f"{k['start']}-{k['end']}" for k in x["keyframes"])
-                for c, v in zip(cols, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, x["duration"] / x["timescale"]), strict=True):
+                for c, v in zip(cols, (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, x["duration"] / x["timescale"]), strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
-            yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds"]
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double")
+    kind = stored.schema[id_col].dataType.simpleString()
+    return stored.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double")
+
+
+def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores each text in a container, in a table of the shared folder, and returns digests and features of what is read from there."""
+    return digests(written(store(df, id_col, text_col), "media"), id_col)
