@@ -11,16 +11,18 @@ without a shuffle, in files bounded by the mean size of a row, and enter the sto
 
 A commit writes the next manifest under a temporary name and renames it; the rename fails if that version exists, so of
 two writers one wins and the other starts again from the newer version. Readers see one version as a whole. A job that
-dies leaves files that no manifest lists, which ``vacuum`` removes. All file work goes through Spark and Hadoop's file
+dies leaves files that no manifest lists, which ``vacuum`` removes when they are old; a reader keeps the former version. All file work goes through Spark and Hadoop's file
 system, so any shared store will do.
 
 Defined results: an empty arrival commits nothing; reading a store without a manifest gives an error that says so;
-repeated rows stay; columns are those of the first arrival, by name, and a later arrival that lacks one gets nulls there.
+repeated rows stay; columns are those of all arrivals, by name whatever its case, with the type that each came with first;
+rows of arrivals without a column have nulls there.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
@@ -139,9 +141,17 @@ class ShardStore:
             self.short.add(path)
         return Run(path, rows, sum(f.getLen() for f in shards), len(shards), level, arrivals)
 
+    def _kind(self, before: Manifest | None, new: StructType) -> StructType:
+        """The stored columns, and after them those that ``new`` has beyond them; a column keeps the type that it came with."""
+        if before is None:
+            return new
+        kind = StructType.fromJson(json.loads(before.schema))
+        there = {f.name.lower() for f in kind}
+        return StructType([*kind, *(f for f in new if f.name.lower() not in there)])
+
     def _as_stored(self, df: DataFrame, kind: StructType) -> DataFrame:
-        have = set(df.columns)
-        return df.select(*(F.col(f"`{f.name}`").cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in kind))
+        have = {c.lower(): c for c in df.columns}
+        return df.select(*((F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind))
 
     def _commit_runs(self, runs: list[Run], kind: StructType, tries: int) -> Manifest | None:
         """Commits each run as an arrival of its own, in one version."""
@@ -149,7 +159,7 @@ class ShardStore:
             now = self.manifest()
             if not runs:
                 return now
-            n = now.arrivals if now else 0
+            n, kind = now.arrivals if now else 0, self._kind(now, kind)
             new = (replace(r, arrivals=(n + i, n + i)) for i, r in enumerate(runs))
             try:
                 return self.commit(Manifest((now.version if now else 0) + 1, json.dumps(kind.jsonValue()), n + len(runs), (*(now.runs if now else ()), *new)))
@@ -159,8 +169,7 @@ class ShardStore:
 
     def append(self, df: DataFrame, files: int = 1, tries: int = 5) -> Manifest | None:
         """Adds one arrival as a small run and commits it."""
-        before = self.manifest()
-        kind = StructType.fromJson(json.loads(before.schema)) if before else df.schema
+        kind = self._kind(self.manifest(), df.schema)
         run = self._write(self._as_stored(df, kind), files, 0, (0, 0))
         return self._commit_runs([run] if run else [], kind, tries)
 
@@ -170,8 +179,7 @@ class ShardStore:
         An arrival has files of at most ``most`` bytes together, or one file. Files are bounded by rows, as many as have
         ``most`` bytes at the mean size before compression; a file that is larger, as its rows are, is left to ``compact``.
         """
-        before = self.manifest()
-        same = self._as_stored(df, StructType.fromJson(json.loads(before.schema)) if before else df.schema)
+        same = self._as_stored(df, self._kind(self.manifest(), df.schema))
         width = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) if f.dataType.simpleString() not in _FIXED else F.lit(8) for f in same.schema), F.lit(0).cast("long"))
         rows, size = same.agg(F.count("*"), F.sum(width)).first()
         folder = f"{self.root}/stage/{uuid.uuid4().hex}"
@@ -201,8 +209,7 @@ class ShardStore:
                 if not self.fs.rename(self._path(f"{folder}/{name}"), self._path(f"{self.root}/{path}/{name}")):
                     raise RuntimeError(f"{folder}/{name} can't be moved to {path}")
             runs.append(Run(path, sum(f[1] for f in files), sum(f[2] for f in files), len(files), 0, (0, 0)))
-        before = self.manifest()
-        return self._commit_runs(runs, StructType.fromJson(json.loads(before.schema)) if before else kind, tries)
+        return self._commit_runs(runs, self._kind(self.manifest(), kind), tries)
 
     def files(self, size: int) -> int:
         """How many files near the target hold ``size`` bytes."""
@@ -243,18 +250,28 @@ class ShardStore:
         now = self.manifest()
         live = {r.path for r in now.runs}
         done = [(g, new) for g, new in zip(groups, made, strict=True) if {r.path for r in g} <= live]
-        if not done:
-            return None
         gone = {r.path for g, _ in done for r in g}
+        lost = made
         try:
-            return self.commit(replace(now, version=now.version + 1, runs=(*(r for r in now.runs if r.path not in gone), *(new for _, new in done))))
+            if done:
+                at = self.commit(replace(now, version=now.version + 1, runs=(*(r for r in now.runs if r.path not in gone), *(new for _, new in done))))
+                kept = {new.path for _, new in done}
+                lost = [r for r in made if r.path not in kept]
+                return at
         except Conflict:
-            return None
+            pass
+        finally:
+            for r in lost:
+                self.fs.delete(self._path(f"{self.root}/{r.path}"), True)
+        return None
 
-    def compact(self) -> Manifest | None:
-        """Merges until no tier is full and no file too large."""
+    def compact(self, tries: int = 8) -> Manifest | None:
+        """Merges until no tier is full and no file too large; gives up after ``tries`` merges in a row that others came before."""
+        lost = 0
         while (now := self.manifest()) and (groups := self.candidates(now)):
-            self.merge(*groups)
+            lost = 0 if self.merge(*groups) else lost + 1
+            if lost == tries:
+                raise Conflict(f"no merge in {tries} tries")
         return now
 
     def read_runs(self, at: Manifest, runs: list[Run] | tuple[Run, ...]) -> DataFrame:
@@ -270,10 +287,17 @@ class ShardStore:
             raise ValueError(f"no manifest in {self.root}")
         return self.read_runs(at, at.runs)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Removes runs that none of the last ``keep`` versions lists; returns how many."""
-        live = {r.path.split("/")[-1] for v in self.versions()[-keep:] for r in self.manifest(v).runs}
-        dead = [f.getPath() for f in self._list(f"{self.root}/data") if f.getPath().getName() not in live]
+    def vacuum(self, keep: int = 2, age: float = 86_400.0) -> int:
+        """Removes runs that none of the last ``keep`` versions lists; returns how many.
+
+        A run that no version has ever listed may be another writer's, on its way: it goes once its folder hasn't changed for
+        ``age`` seconds.
+        """
+        versions = {v: {r.path.split("/")[-1] for r in self.manifest(v).runs} for v in self.versions()}
+        live = set().union(*(versions[v] for v in sorted(versions)[-keep:])) if versions else set()
+        once = set().union(*versions.values()) if versions else set()
+        old = (time.time() - age) * 1000
+        dead = [f.getPath() for f in self._list(f"{self.root}/data") if (name := f.getPath().getName()) not in live and (name in once or f.getModificationTime() <= old)]
         for p in dead:
             self.fs.delete(p, True)
         return len(dead)
@@ -295,9 +319,12 @@ def ingest(df: DataFrame, root: str, batches: int = 12, **options) -> ShardStore
     return store
 
 
-def inventory(store: ShardStore, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_sha256, shard, run_level, version) of every row, read back by the newest manifest."""
+def inventory(store: ShardStore, id_col: str = "doc_id", text_col: str = "text", id_kind: str = "long") -> DataFrame:
+    """(id, text_sha256, shard, run_level, version) of every row, read back by the newest manifest; no rows without one."""
     at = store.manifest()
+    if at is None:
+        empty = f"{id_col} {id_kind}, text_sha256 string, shard string, run_level int, version int"
+        return store.spark.createDataFrame([], empty)
     levels = F.create_map(*(F.lit(x) for r in at.runs for x in (r.path.split("/")[-1], r.level)))
     run = F.element_at(F.split("_metadata.file_path", "/"), -2)
     return store.read().select(

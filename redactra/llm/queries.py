@@ -39,8 +39,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_edits.count_edits(token_edits.sample_edits(documents(spark, sf_dir)))
-    return counted.withColumn("after_crc32", F.crc32(F.col("text_after").cast("binary"))).drop("text_after")
+    counted = token_edits.edited(token_edits.sample_edits(documents(spark, sf_dir)))
+    return counted.withColumn("after_crc32", F.crc32(F.col("text_after").cast("binary"))).drop("text_after", "tree_after")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +48,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = compaction.ingest(documents(spark, sf_dir), fresh_path(spark, "shards"))
-    return compaction.inventory(store)
+    docs = documents(spark, sf_dir)
+    return compaction.inventory(compaction.ingest(docs, fresh_path(spark, "shards")), id_kind=docs.schema["doc_id"].dataType.simpleString())
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
