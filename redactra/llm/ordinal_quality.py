@@ -131,12 +131,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
 
 
 def train(df: DataFrame, ratings: DataFrame, n_grades: int, max_rows: int = MAX_ROWS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """``ratings``: (id, grade), grades from 0. Features are made on the executors; at most ``max_rows`` rows reach the driver."""
-    rated = ratings.select(id_col, F.col("grade").cast("int").alias("_grade")).dropna()
-    rated = rated.filter(F.col("_grade").between(0, n_grades - 1)).groupBy(id_col).agg(F.max("_grade").alias("_grade"))
-    some = hash_sample(rated, max_rows, id_col)
+    """``ratings``: (id, grade), grades from 0.
+
+    Features are made on the executors; at most ``max_rows`` rows reach the driver, each with 12 bytes for each of its hashed
+    features, of which there are 2 ** ``bits`` at most however long its text. Of several texts with one id the least is taken.
+    """
+    rated = ratings.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade")).dropna()
+    rated = rated.filter(F.col("grade").between(0, n_grades - 1)).groupBy("id").agg(F.max("grade").alias("grade"))
+    some = hash_sample(rated, max_rows, "id")
     # At most max_rows rows of two numbers: a proven bound.
-    joined = df.select(id_col, text_col).join(F.broadcast(some), id_col).select("_grade", text_col)
+    joined = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id")
+    joined = joined.groupBy("id").agg(F.min("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
 
     def run(batches):
         make = Featurizer(bits)
@@ -144,7 +149,7 @@ def train(df: DataFrame, ratings: DataFrame, n_grades: int, max_rows: int = MAX_
             made = [make(x) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32()))], names=["grade", "idx", "val"])
 
-    got = joined.mapInArrow(run, "grade int, idx array<int>, val array<float>").limit(2 * max_rows).toPandas()
+    got = joined.mapInArrow(run, "grade int, idx array<int>, val array<float>").toPandas()
     got = got.iloc[np.lexsort((got["idx"].map(len), got["grade"]))] if len(got) else got
     rows = [(np.asarray(a, np.int64), np.asarray(b, float)) for a, b in zip(got["idx"], got["val"], strict=True)]
     return fit(rows, got["grade"].to_numpy(int), n_grades, bits)
@@ -170,5 +175,5 @@ def score(df: DataFrame, model: OrdinalModel, tail_grade: int = 1, keep_from: fl
 
 
 def grade(quality: Column, toxic: Column) -> Column:
-    """Grades from two binary ratings: 0 low quality, 1 good but toxic, 2 good and clean; null where quality is null."""
-    return F.when(quality == 0, 0).when(quality == 1, F.when(toxic == 1, 1).otherwise(2))
+    """Grades from two binary ratings: 0 low quality, 1 good but toxic, 2 good and clean; null where the rating that decides is null."""
+    return F.when(quality == 0, 0).when(quality == 1, F.when(toxic == 1, 1).when(toxic == 0, 2))
