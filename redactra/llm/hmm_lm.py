@@ -6,10 +6,11 @@ probability (c + 1) / (C + W + 1), where C tokens of W words were counted there
 So each word has a probability however large the vocabulary, which stays distributed, while states x symbols is bounded.
 
 * Counting: one pass, a partial count for each task, summed by word.
-* Starting point: a mixture of unigrams fitted to a bounded sample of training documents. It only starts the search.
+* Starting point: a mixture of unigrams fitted to ``START_ROWS`` training rows drawn without regard to text or length; of one
+  with more than ``START_TOKENS`` tokens so many, evenly spread, are looked at. It only starts the search.
 * Baum-Welch: each pass runs the scaled forward-backward recursion over all training documents on the executors and sums
   expected starts, transitions and emissions across partitions; the driver gets states x symbols numbers. Documents
-  above ``SEGMENT`` tokens are cut for this step only, to bound its memory.
+  above ``SEGMENT`` tokens keep their states at borders alone, to bound memory, and are as exact.
 * Scoring: the scaled forward recursion over each whole document gives its exact log10 probability.
 
 Words too rare for the broadcast table (less than one training token in ``HEAD``) are looked up by a join, so no table
@@ -214,8 +215,11 @@ class Expected:
 
 
 def expect(seqs: list[np.ndarray], model: Hmm, into: Expected, most: int = BLOCK, segment: int = SEGMENT) -> None:
-    """Adds the expected counts of the sequences."""
-    seqs = [s[i : i + segment] for s in seqs for i in range(0, len(s), segment)]
+    """Adds the expected counts of the sequences; those above ``segment`` tokens by checkpoints, which is as exact and bounds memory."""
+    for s in seqs:
+        if len(s) > segment:
+            _expect_long(s, model, into, segment)
+    seqs = [s for s in seqs if len(s) <= segment]
     k = len(model.start)
     for block in _blocks(seqs, most):
         by_step, active, offset = _by_step([seqs[i] for i in block])
@@ -243,6 +247,40 @@ def expect(seqs: list[np.ndarray], model: Hmm, into: Expected, most: int = BLOCK
             into.emit[:, j] += np.bincount(by_step, alpha[:, j], into.emit.shape[0])
 
 
+def _expect_long(s: np.ndarray, model: Hmm, into: Expected, segment: int) -> None:
+    """One sequence: the forward pass keeps its state at segments' borders alone; the segments are then taken from the last
+    one back, each with its forward states computed again from its border, and the backward state is carried over."""
+
+    def states(part: np.ndarray, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        out, scale = np.empty((len(part), len(model.start))), np.empty(len(part))
+        for t, e in enumerate(model.emit[part.astype(np.int64)]):
+            a = (model.start if a is None else a @ model.move) * e
+            scale[t] = a.sum()
+            out[t] = a = a / scale[t]
+        return out, scale
+
+    parts = [s[i : i + segment] for i in range(0, len(s), segment)]
+    border: list[np.ndarray | None] = [None]
+    for part in parts[:-1]:
+        border.append(states(part, border[-1])[0][-1])
+    ahead = None  # emission, backward state and scale of the token after
+    for part, a in zip(reversed(parts), reversed(border), strict=True):
+        alpha, scale = states(part, a)
+        into.log10 += float(np.log10(scale).sum())
+        emit = model.emit[part.astype(np.int64)]
+        for t in range(len(part) - 1, -1, -1):
+            if ahead is None:
+                beta = np.ones(len(model.start))
+            else:
+                into.move += model.move * np.outer(alpha[t], ahead)
+                beta = model.move @ ahead
+            ahead = emit[t] * beta / scale[t]
+            alpha[t] *= beta
+        for j in range(alpha.shape[1]):
+            into.emit[:, j] += np.bincount(part.astype(np.int64), alpha[:, j], into.emit.shape[0])
+    into.start += alpha[0]
+
+
 def maximize(e: Expected, unigram: np.ndarray, weight: float = 200.0) -> Hmm:
     """The next model; emissions lean on the unigram by ``weight`` tokens, so every symbol keeps a probability."""
     emit = e.emit + weight * unigram[:, None]
@@ -289,7 +327,14 @@ def train(encoded: DataFrame, coder: Coder, states: int = STATES, rounds: int =
     unigram[: coder.own] = 10 ** coder.log_count[: coder.own]
     unigram[coder.own :] = 10 ** coder.log_norm[coder.own :]
     unigram /= unigram.sum()
-    few = hash_sample(own.filter(F.col("n_tokens") <= START_TOKENS).select("symbols"), START_ROWS, "symbols").collect()
+
+    def thin(batches):
+        for b in batches:
+            seqs = [np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()]
+            some = [s if len(s) <= START_TOKENS else s[np.linspace(0, len(s) - 1, START_TOKENS).astype(np.int64)] for s in seqs]
+            yield pa.record_batch([pa.array([x.tobytes() for x in some], pa.binary())], names=["symbols"])
+
+    few = hash_sample(own.select("row", "symbols"), START_ROWS, "row").select("symbols").mapInArrow(thin, "symbols binary").collect()
     model = starting([np.frombuffer(bytes(x[0]), "<u2") for x in few], unigram, states)
     for _ in range(rounds):
         shared = sc.broadcast(model)
