@@ -34,6 +34,10 @@ RULES = {
 GATES = {"EMAIL": "@", "URL": r"://|www\."}
 
 
+#: Whatever any rule finds, this finds too: one pass spares most texts the rules' own gates.
+HINT = r"@|://|www\.|\p{Nd}{2}|\p{Nd}\.\p{Nd}|(?:[0-9A-Fa-f]{2}[:\-]){5}"
+
+
 def gate(label: str) -> str:
     """A quicker pattern that matches wherever the rule's does: the same without word borders, which are slow to test."""
     bare = RULES[label].replace(r"\b", "").replace("(?<=:)", ":")
@@ -66,6 +70,7 @@ def rule_spans(text: Column, validate: bool = True, rules: list[str] | None = No
     """Spans of all rules; of overlapping ones the earlier rule wins, then the longer match, then the first."""
     none = F.array().cast("array<struct<priority:int,short:int,start:int,end:int,label:string,score:double,ok:boolean>>")
     found = F.concat(*(F.when(text.rlike(gate(label)), _found(text, label, validate)).otherwise(none) for label in rules or RULES))
+    found = F.when(text.rlike(HINT), found).otherwise(none)
     # Structs sort by their fields: priority, length, start.
     ranked = F.transform(F.sort_array(found), lambda x: S.span(x["start"], x["end"], x["label"], x["score"]))
     return F.when(text.isNotNull(), S.resolve(ranked))

@@ -356,6 +356,24 @@ def test_fill(spark):
     assert synth.negative_rows(spark, 5).filter(F.size("spans") == 0).count() == 5
 
 
+@pytest.mark.parametrize("label", list(D.RULES))
+def test_one_hint_for_all_rules(label):
+    """A text that a rule matches has the hint and the rule's gate."""
+    import regex
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    hint, own, rule = (regex.compile(p) for p in (D.HINT, D.gate(label), D.RULES[label]))
+
+    @given(st.from_regex(D.RULES[label].replace("(?<=:)", ":")))
+    @settings(max_examples=200, deadline=None)
+    def run(text):
+        if rule.search(text):
+            assert hint.search(text) and own.search(text)
+
+    run()
+
+
 def test_forms_are_many_and_as_written():
     for label, forms in synth.FORMS.items():
         seen = {synth.Values(synth.chance(label, k)).value(label) for k in range(60)}
