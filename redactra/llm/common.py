@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import threading
 import uuid
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     # SparkContext has its own checkpoint folder if a caller has set one.
     if (own := sc._jsc.sc().getCheckpointDir()).isDefined():
         return own.get().rstrip("/")
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="redactra-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")

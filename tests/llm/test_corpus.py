@@ -313,6 +313,16 @@ def test_genetic_steps_keep_every_piece(lengths, seed):
     assert packing.fitness(packing.evolve(n, 50, seed, [a]), n, 50) >= packing.fitness(a, n, 50)
 
 
+def test_evolution_beats_its_start():
+    """On lengths that best fit packs badly, with several pieces a bin."""
+    rng = np.random.default_rng(22)
+    n = rng.integers(300, 901, 600)
+    start = np.zeros(len(n), np.int64)
+    packing.best_fit(n, np.argsort(-n, kind="stable").tolist(), start, {}, 2048)
+    bins = [len(set(x.tolist())) for x in (start, packing.evolve(n, 2048, 3, [start]))]
+    assert -(-n.sum() // 2048) <= bins[1] < bins[0]
+
+
 def test_packing_of_nothing(no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
