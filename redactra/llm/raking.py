@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import SPACES, drop_tables, fresh_names, made, small, written
+from .common import SPACES, drop_tables, made, small, written
 
 MARGINS = ("source", "lang", "topic")
 NONE = "\x00none"
@@ -218,11 +218,13 @@ def mix(df: DataFrame, keep_tokens: float = 0.8, power: float = POWER, targets:
 def sample(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The sampled documents, with all columns of ``df``."""
     text, source, lang, topic_col = (options.pop(k, d) for k, d in (("text_col", "text"), ("source_col", "source"), ("lang_col", "lang"), ("topic_col", None)))
-    cells = small(written(calibrate(written(with_cells(df, id_col, text, source, lang, topic_col), "mix"), **options), "calibrated"))
-    *key, probability = fresh_names(df.columns, *MARGINS, "probability")
-    mine = df.select("*", *(c.alias(k) for k, c in zip(key, _cell_columns(text, source, lang, topic_col), strict=True)))
-    keep = cells.select(*(F.col(m).alias(k) for m, k in zip(MARGINS, key, strict=True)), F.col("probability").alias(probability))
-    return mine.join(keep, key, "left").filter(draw(F.col(id_col), F.col(text)) < F.col(probability)).select(*df.columns)
+    # The rows are written with their cells: a row is one column, so that no name clashes, and its topic is found once.
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    each = [c.alias(m) for m, c in zip(MARGINS, _cell_columns(text, source, lang, topic_col), strict=True)]
+    rows = written(df.select(row, *each, n_tokens(F.col(text)).alias("n_tokens"), draw(F.col(id_col), F.col(text)).alias("draw")), "mix")
+    cells = small(written(calibrate(rows.drop("row"), **options), "calibrated"))
+    joined = rows.select("row", *MARGINS, "draw").join(cells.select(*MARGINS, "probability"), list(MARGINS), "left")
+    return joined.filter(F.col("draw") < F.col("probability")).select("row.*")
 
 
 def _cell_columns(text_col: str, source_col: str, lang_col: str, topic_col: str | None) -> list[Column]:
