@@ -55,18 +55,21 @@ class SegmentTree:
 
     def _encoded(self, text: str) -> np.ndarray:
         self.encoded += len(text)
-        return np.array([(len(s), self.count(s)) for s in segments(text)], np.int64).reshape(-1, 2)
+        some = segments(text)
+        return np.array([*map(len, some), *map(self.count, some)], np.int64).reshape(2, -1).T
 
     def _fill(self, rows: np.ndarray) -> None:
         self.blocks = [rows[i : i + self.block] for i in range(0, len(rows), self.block)] or [rows]
         self.size = 1 << (len(self.blocks) - 1).bit_length()
-        self.sums = np.zeros((2 * self.size, 2), np.int64)
-        if len(rows):
-            self.sums[self.size : self.size + len(self.blocks)] = np.add.reduceat(rows, np.arange(0, len(rows), self.block))
-        level = self.size
-        while level > 1:
-            self.sums[level // 2 : level] = self.sums[level : 2 * level].reshape(-1, 2, 2).sum(axis=1)
-            level //= 2
+        sums = np.add.reduceat(rows, np.arange(0, len(rows), self.block)).T.tolist() if len(rows) else [[0], [0]]
+        # Plain numbers: single nodes are read and written far more often than all of them.
+        self.length, self.tokens = ([0] * self.size + x + [0] * (self.size - len(x)) for x in sums)
+        for i in range(self.size - 1, 0, -1):
+            self._sum(i)
+
+    def _sum(self, i: int) -> None:
+        self.length[i] = self.length[2 * i] + self.length[2 * i + 1]
+        self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
     @property
     def n_chars(self) -> int:
@@ -74,7 +77,7 @@ class SegmentTree:
 
     @property
     def n_tokens(self) -> int:
-        return int(self.sums[1, 1])
+        return self.tokens[1]
 
     def text(self) -> str:
         return self.now
@@ -88,13 +91,16 @@ class SegmentTree:
         i, start = 1, 0
         while i < self.size:
             i *= 2
-            if at >= start + self.sums[i, 0] and self.sums[i + 1, 0]:
-                start += int(self.sums[i, 0])
+            if at >= start + self.length[i] and self.length[i + 1]:
+                start += self.length[i]
                 i += 1
         b = i - self.size
-        ends = start + np.cumsum(self.blocks[b][:, 0])
-        k = min(int(np.searchsorted(ends, at, side="right")), max(0, len(ends) - 1))
-        return b, k, start if k == 0 else int(ends[k - 1])
+        rows = self.blocks[b][:, 0].tolist()
+        for k, n in enumerate(rows):
+            if at < start + n or k == len(rows) - 1:
+                return b, k, start
+            start += n
+        return b, 0, start
 
     def edit(self, start: int, removed: int, put: str) -> int:
         """Applies one edit and returns the change of the count."""
@@ -114,11 +120,11 @@ class SegmentTree:
         if b0 != b1:
             self.blocks[b1] = tail
         for b in range(b0, b1 + 1):
-            self.sums[self.size + b] = self.blocks[b].sum(axis=0)
+            self.length[self.size + b], self.tokens[self.size + b] = self.blocks[b].sum(axis=0).tolist()
         low, high = (self.size + b0) // 2, (self.size + b1) // 2
         while low:
             for i in range(low, high + 1):
-                self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
+                self._sum(i)
             low, high = low // 2, high // 2
         if len(self.blocks[b0]) > 8 * self.block:
             self._fill(np.concatenate(self.blocks))
