@@ -31,7 +31,7 @@ MARGINS = ("source", "lang", "topic")
 NONE = "\x00none"
 SWEEPS, TOLERANCE, LOCAL_CELLS = 200, 1e-9, 200_000
 #: Target shares are token shares to this power; the worst share of the expected sample may be off by so much.
-POWER, NEAR = 0.9, 0.002
+POWER, NEAR = 0.9, 0.005
 #: The first pattern that a text has names its topic. Fixed values.
 TOPICS = (
     ("legal", r"(?i)\b(licen[sc]e|licensed|copyright|all rights reserved|warrant(y|ies))\b"),
@@ -60,16 +60,37 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return each.select(margin, F.pow("tokens", F.lit(power)).alias("share"))
 
 
-def feasible(cells: DataFrame, targets: dict[str, DataFrame], keep_tokens: float) -> tuple[float, float]:
-    """(all tokens, the most tokens up to ``keep_tokens`` of them with which each category can have its target share)."""
-    total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
-    goal = keep_tokens * total
+def _filled(have: np.ndarray, share: np.ndarray, goal: float) -> np.ndarray:
+    """Tokens of each category: in the shares' proportions, but none more than it has; together ``goal``, if there are so many."""
+    out = np.where(share > 0, have, 0.0)
+    if out.sum() <= goal:
+        return out
+    scale = goal / share[have > 0].sum()
+    while True:
+        full = scale * share >= have
+        free = share[~full & (have > 0)].sum()
+        new = (goal - out[full].sum()) / free if free > 0 else scale
+        if new <= scale * (1 + 1e-12):
+            return np.where(full, out, scale * share)
+        scale = new
+
+
+def attainable(cells: DataFrame, targets: dict[str, DataFrame], goal: float) -> dict[str, DataFrame]:
+    """The same for each margin as DataFrames (category, share): only sums reach the driver."""
+    found = {}
     for m in MARGINS:
-        have = cells.groupBy(m).agg(F.sum("tokens").alias("have")).filter("have > 0").join(targets[m], m).filter("share > 0")
-        shares, least = have.agg(F.sum("share"), F.min(F.col("have") / F.col("share"))).first()
-        if shares:
-            goal = min(goal, float(least) * float(shares))
-    return total, goal
+        each = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("have")).filter("have > 0").join(targets[m], m).filter("share > 0")
+        each = written(each.select(m, "have", "share"), "rake")
+        total, shares = each.agg(F.coalesce(F.sum("have"), F.lit(0.0)), F.coalesce(F.sum("share"), F.lit(0.0))).first()
+        scale = float("inf") if total <= goal else goal / shares
+        while scale < float("inf"):
+            full = F.col("share") * scale >= F.col("have")
+            done, free = each.agg(F.coalesce(F.sum(F.when(full, F.col("have"))), F.lit(0.0)), F.sum(F.when(~full, F.col("share")))).first()
+            if not free or (goal - done) / free <= scale * (1 + 1e-12):
+                break
+            scale = (goal - done) / free
+        found[m] = each.select(m, (F.least("have", F.col("share") * scale) if scale < float("inf") else F.col("have")).alias("share"))
+    return found
 
 
 def _rake_local(cells: pd.DataFrame, targets: dict[str, pd.DataFrame], goal: float | None = None, sweeps: int = SWEEPS) -> tuple[np.ndarray, float]:
@@ -147,11 +168,12 @@ def _rake_spread(cells: DataFrame, targets: dict[str, DataFrame], goal: float |
 def calibrate(df: DataFrame, keep_tokens: float = 0.8, power: float = POWER, targets: dict[str, DataFrame] | None = None, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """The cells: (source, lang, topic, docs, tokens, factor, probability, residual).
 
-    df has MARGINS (no nulls) and ``n_tokens``. ``factor`` is the raked weight. ``probability``, to keep a document, is raked
-    with its bound of 1: the tokens that are expected to stay have the target shares. ``keep_tokens`` of all tokens stay, or
-    as many as there are with which the shares can be had: no category can give more than it has, and where categories
-    stand in each other's way the total is lowered by tenths until the worst share is off by at most ``NEAR``. ``residual`` is
-    that share's distance, also where nothing helped.
+    df has MARGINS (no nulls) and ``n_tokens``. ``factor`` is the raked weight, without bounds. ``probability``, to keep a
+    document, is raked with its bound of 1, so that ``keep_tokens`` of all tokens are expected to stay. A category that has
+    fewer tokens than its share asks for gives all it has, and the others share the rest in their proportions: no small
+    category makes the whole sample small. Where categories of different margins stand in each other's way, the total is
+    lowered, by tenths and three times at most, until the worst share is off by at most ``NEAR``. ``residual`` is its distance
+    from what can be had; ``achieved`` shows all shares.
     """
     cells = written(df.groupBy(*MARGINS).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")), "cells")
     goals = {m: tempered(cells, m, power) for m in MARGINS} | (targets or {})
@@ -160,21 +182,35 @@ def calibrate(df: DataFrame, keep_tokens: float = 0.8, power: float = POWER, tar
     n = cells.count()
     if not n:
         return spark.createDataFrame([], schema)
-    _, goal = feasible(cells, goals, keep_tokens)
-    tries = [goal * 0.9**k for k in range(12)] if goal > 0 else []
+    total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    tries = [keep_tokens * total * 0.9**k for k in range(4)] if total else []
     if n <= local_cells:
         local, near = cells.toPandas().sort_values(list(MARGINS), ignore_index=True), {m: g.toPandas() for m, g in goals.items()}
         local["factor"], _ = _rake_local(local, near)
-        found = min(((off > NEAR, k if off <= NEAR else off, p, off) for k, t in enumerate(tries) for p, off in [_rake_local(local, near, t)]), key=lambda x: x[:2], default=(0, 0, np.zeros(n), 0.0))
-        local["probability"], local["residual"] = np.minimum(found[2], 1.0), found[3]
+
+        def bounded(goal: float) -> tuple[np.ndarray, float]:
+            can = {}
+            for m, g in near.items():
+                each = g.merge(local.groupby(m, as_index=False)["tokens"].sum(), on=m)
+                can[m] = each[[m]].assign(share=_filled(each["tokens"].to_numpy(float), each["share"].to_numpy(float), goal))
+            return _rake_local(local, can, min([goal, *(c["share"].sum() for c in can.values())]))
+
+        best = (np.zeros(n), 0.0)
+        for k, goal in enumerate(tries):
+            some = bounded(goal)
+            best = some if not k or some[1] < best[1] else best
+            if best[1] <= NEAR:
+                break
+        local["probability"], local["residual"] = np.minimum(best[0], 1.0), best[1]
         return spark.createDataFrame(local, schema)
-    raked, off = _rake_spread(cells, goals)
+    raked, _ = _rake_spread(cells, goals)
     best = None
-    for t in tries:
-        some, off = _rake_spread(cells, goals, t)
-        if best is None or off < best[1]:
-            best = some, off
-        if off <= NEAR:
+    for goal in tries:
+        can = attainable(cells, goals, goal)
+        least = min([goal, *(float(c.agg(F.coalesce(F.sum("share"), F.lit(0.0))).first()[0]) for c in can.values())])
+        some = _rake_spread(cells, can, least)
+        best = some if best is None or some[1] < best[1] else best
+        if best[1] <= NEAR:
             break
     some, off = best or (raked.withColumn("factor", F.lit(0.0)), 0.0)
     out = raked.join(some.select(*MARGINS, F.least("factor", F.lit(1.0)).alias("probability")), list(MARGINS))
