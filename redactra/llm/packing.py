@@ -4,9 +4,12 @@ Documents become token ids and end with id 0. Only documents above the capacity
 capacity with a shorter first piece where needed. A full piece is a sequence of its own; all other pieces are dealt into
 groups of about ``group_pieces``. For each group, islands evolve populations of packings in which a gene is a whole bin:
 
-* crossover injects well-filled bins of one parent into the other, drops the bins that would repeat a document, and
-  best-fits the displaced documents again, largest first;
-* mutation dissolves the worst-filled bins;
+* crossover injects well-filled bins of one parent into the other and drops the bins that would repeat a document;
+* mutation dissolves the worst-filled bins and a few others;
+* displaced documents first change places with one or two of a kept bin wherever that fills the bin better, and what is
+  loose then is best-fitted again, largest first;
+* an island stops at a lower bound on the bins, which proves its packing best, or once ``PATIENCE`` children in a row have
+  not beaten its elite; the number of generations has no limit;
 * after each epoch every island hands its elite to the next island of its group (a ring; migration is a shuffle of one
   compact assignment for each island).
 
@@ -32,7 +35,7 @@ from .common import slices, written
 
 CAPACITY = 2048
 GROUP_PIECES, ISLANDS, EPOCHS, SETTLE = 4096, 2, 2, 0.98
-POPULATION, GENERATIONS = 4, 3
+POPULATION, PATIENCE = 4, 60
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -143,6 +146,23 @@ def _renumber(bins: np.ndarray) -> np.ndarray:
     return np.unique(bins, return_inverse=True)[1]
 
 
+def bound(lengths: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing can do with less: the most that several dual feasible functions of the lengths give."""
+    size = np.arange(capacity + 1, dtype=np.int64)
+    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    total = count * size
+    least = -(-int(total.sum()) // capacity)
+    # Lengths in steps of a (k + 1)-th of the capacity, rounded down to whole k-ths unless they hit a step.
+    for k in range(1, 33):
+        steps = (k + 1) * size
+        least = max(least, -(-int((count * np.where(steps % capacity == 0, k * size, steps // capacity * capacity)).sum()) // (capacity * k)))
+    # Pieces shorter than a don't count, and one that leaves less than a has a bin of its own.
+    a = np.arange(1, capacity // 2 + 1)
+    n, t = count.cumsum(), total.cumsum()
+    own, rest = n[capacity] - n[capacity - a], t[capacity - a] - t[a - 1]
+    return max(least, int((own - (-rest // capacity)).max(initial=0)))
+
+
 def fitness(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> float:
     """Mean squared fill of the bins, more for fewer bins: what grouping algorithms climb instead of the bare count."""
     fill = np.bincount(bins, lengths) / capacity
@@ -150,7 +170,7 @@ def fitness(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> float:
 
 
 def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator, share: float = 0.3) -> np.ndarray:
-    """A child of ``a``: well-filled whole bins of ``b`` come in, bins of ``a`` that repeat their pieces go, displaced pieces are best-fitted."""
+    """A child of ``a``: well-filled whole bins of ``b`` come in, bins of ``a`` that repeat their pieces go, displaced pieces are packed again."""
     fill = np.bincount(b, lengths)
     full = np.flatnonzero(fill >= np.quantile(fill, 0.5))
     come = rng.choice(full, max(1, int(share * len(full))), replace=False)
@@ -162,20 +182,64 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int,
     stay = ~gone[a]
     child = np.where(mine, b + len(gone), a)
     loose = ~mine & ~stay
-    return _repair(child, loose, lengths, capacity)
+    return _repair(child, loose, lengths, capacity, rng)
 
 
-def mutate(a: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator, share: float = 0.05) -> np.ndarray:
-    """The worst-filled bins, and a few at random, are dissolved and their pieces best-fitted."""
+def mutate(a: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator, share: float = 0.01) -> np.ndarray:
+    """The worst-filled bins, and a few at random, are dissolved and their pieces packed again."""
     fill = np.bincount(a, lengths)
     k = max(2, int(share * len(fill)))
     gone = np.zeros(len(fill), bool)
     gone[np.argsort(fill, kind="stable")[:k]] = True
     gone[rng.integers(0, len(fill), k)] = True
-    return _repair(a.copy(), gone[a], lengths, capacity)
+    return _repair(a.copy(), gone[a], lengths, capacity, rng)
 
 
-def _repair(bins: np.ndarray, loose: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+def _exchange(bins: np.ndarray, loose: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator, reach: int = 3, mates: int = 128) -> int:
+    """One or two pieces of a bin change places with one or two loose ones that fill it better; the tightest fits go first.
+
+    bins and loose are changed; a bin takes part once a call; returns the number of exchanges. Two pieces of a bin are tried
+    together up to ``reach`` places apart, and pairs of ``mates`` loose pieces, drawn anew for each call.
+    """
+    kept, free = np.flatnonzero(~loose), np.flatnonzero(loose)
+    order = kept[np.argsort(bins[kept], kind="stable")]
+    room = capacity - np.bincount(bins[order], lengths[order]).astype(np.int64)
+    outs = [(order, np.full(len(order), -1))]
+    for d in range(1, reach + 1):
+        same = bins[order[d:]] == bins[order[:-d]]
+        outs.append((order[:-d][same], order[d:][same]))
+    out, out2 = (np.concatenate(x) for x in zip(*outs, strict=True))
+    some = rng.permutation(free)[:mates]
+    i, j = np.triu_indices(len(some), 1)
+    come, come2 = np.concatenate([free, some[i]]), np.concatenate([np.full(len(free), -1), some[j]])
+    gives, takes = (lengths[x] + np.where(y < 0, 0, lengths[y]) for x, y in ((out, out2), (come, come2)))
+    at = np.argsort(takes, kind="stable")
+    takes = takes[at]
+    # The most that goes into the room that is there without the pieces that leave.
+    k = np.searchsorted(takes, gives + room[bins[out]], side="right") - 1
+    better = np.flatnonzero((k >= 0) & (takes[k] > gives))
+    gain = takes[k[better]] - gives[better]
+    best = np.lexsort((-gain, room[bins[out[better]]] - gain))
+    best = best[np.sort(np.unique(bins[out[better[best]]], return_index=True)[1])]
+    unused, done = loose.copy(), 0
+    for q, new in zip(better[best].tolist(), at[k[better[best]]].tolist(), strict=True):
+        ins = [x for x in (come[new], come2[new]) if x >= 0]
+        if all(unused[x] for x in ins):
+            b = bins[out[q]]
+            for x in ins:
+                unused[x] = loose[x] = False
+                bins[x] = b
+            for x in (out[q], out2[q]):
+                if x >= 0:
+                    loose[x] = True
+            done += 1
+    return done
+
+
+def _repair(bins: np.ndarray, loose: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator, passes: int = 3) -> np.ndarray:
+    for _ in range(passes):
+        if not loose.any() or loose.all() or not _exchange(bins, loose, lengths, capacity, rng):
+            break
     kept = np.flatnonzero(~loose)
     numbers, back = np.unique(bins[kept], return_inverse=True)
     bins[kept] = back
@@ -185,10 +249,13 @@ def _repair(bins: np.ndarray, loose: np.ndarray, lengths: np.ndarray, capacity:
     return _renumber(bins)
 
 
-def evolve(lengths: np.ndarray, capacity: int, seed: int, guests: list[np.ndarray], population: int = POPULATION, generations: int = GENERATIONS) -> np.ndarray:
-    """The best packing an island finds from a few best-fit starts and the guests; never worse than its starts."""
+def evolve(lengths: np.ndarray, capacity: int, seed: int, guests: list[np.ndarray], population: int = POPULATION, patience: int = PATIENCE) -> np.ndarray:
+    """The best packing an island finds from a few best-fit starts and the guests; never worse than its starts.
+
+    Ends when the bins are as few as ``bound`` or ``patience`` children in a row have not beaten the best packing.
+    """
     rng = np.random.default_rng(seed)
-    least = -(-int(lengths.sum()) // capacity)
+    least = bound(lengths, capacity)
     pool = [g.copy() for g in guests]
     while len(pool) < population:
         noise = 0.0 if not pool else 0.03 * len(pool)
@@ -197,7 +264,8 @@ def evolve(lengths: np.ndarray, capacity: int, seed: int, guests: list[np.ndarra
         best_fit(lengths, np.argsort(-keys, kind="stable").tolist(), bins, {}, capacity)
         pool.append(bins)
     marks = [fitness(p, lengths, capacity) for p in pool]
-    for _ in range(generations):
+    stale = 0
+    while stale < patience:
         top = int(np.argmax(marks))
         if int(pool[top].max()) + 1 <= least:
             break
@@ -206,6 +274,7 @@ def evolve(lengths: np.ndarray, capacity: int, seed: int, guests: list[np.ndarra
             i, j = j, i
         child = mutate(crossover(pool[top] if rng.random() < 0.5 else pool[i], pool[j], lengths, capacity, rng), lengths, capacity, rng)
         mark, low = fitness(child, lengths, capacity), int(np.argmin(marks))
+        stale = 0 if mark > marks[top] else stale + 1
         if mark > marks[low]:
             pool[low], marks[low] = child, mark
     return pool[int(np.argmax(marks))]
