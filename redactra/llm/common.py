@@ -86,16 +86,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Removes tables that no result reads any more; finished shuffles' files go too.
-
-    Spark removes shuffle files when the driver has collected the objects that stand for them, so it is asked to.
-    """
+    """Removes tables that no result reads any more; finished shuffles' files go too."""
     jvm = spark.sparkContext._jvm
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: finished plans and broadcast tables leave its heap, which shrinks.
+
+    Spark removes shuffle files and broadcasts when the driver has collected the objects that stand for them.
+    """
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fresh_names(columns: list[str], *names: str) -> list[str]:

@@ -756,6 +756,23 @@ def test_quality_runs_no_python(odd_docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_quality_spares_the_drivers_heap(spark, odd_docs):
+    """Each concentration step's plan is collected before the next one, and the factor's plan is two projections a column."""
+
+    def collections():
+        # Full collections; the other collectors' names have no "Old" or "MarkSweep".
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+
+    q = robust_quality.with_statistics(odd_docs).select("q.*")
+    before = collections()
+    robust_quality.estimate(q)
+    assert collections() - before >= robust_quality.STEPS
+    moments = robust_quality._moments(q.withColumn("grp", F.lit("all")), 1.0)
+    plans = [df._jdf.queryExecution().analyzed().toString().count("Project [") for df in (moments, robust_quality._factored(moments))]
+    assert plans[1] - plans[0] <= 2 * len(robust_quality.DIMS)
+
+
 # 8, sharding
 
 
