@@ -6,10 +6,8 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: White space as Python's str.isspace has it, for regular expression classes.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -52,9 +50,22 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\D", "")
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+#: Blocks that Unicode 16 added and whose characters its NFKC changes, moves or joins; they are nothing to earlier versions.
+NEW_IN_16 = r"\x{897}\x{105C0}-\x{105FF}\x{10D40}-\x{10D8F}\x{11380}-\x{113FF}\x{16100}-\x{1613F}\x{16D40}-\x{16D7F}\x{1CC00}-\x{1CEBF}\x{1E5D0}-\x{1E5FF}"
+
+
+def nfkc(text: Column) -> Column:
+    """The text in full NFKC as Python's ``unicodedata`` has it, by the ICU library that Spark brings: no text leaves the JVM.
+
+    ICU knows Unicode 16. Where Python is older, what came with 16 stays as it is and parts the text.
+    """
+    icu = lambda t: F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))
+    out = F.when(text.isNull() | ~text.rlike(r"[^\x00-\x7F]"), text)
+    if unicodedata.category("\U0001ccd6") == "Cn":
+        parts = F.regexp_extract_all(text, F.lit(f"[{NEW_IN_16}]+|[^{NEW_IN_16}]+"), F.lit(0))
+        each = F.transform(parts, lambda t: F.when(t.rlike(f"^[{NEW_IN_16}]"), t).otherwise(icu(t)))
+        out = out.when(text.rlike(f"[{NEW_IN_16}]"), F.array_join(each, ""))
+    return out.otherwise(icu(text))
 
 
 def folded(text: Column) -> Column:
@@ -62,13 +73,14 @@ def folded(text: Column) -> Column:
     return F.lower(without_space(text))
 
 
-def leak_keys(text: Column, full_nfkc: Column | None = None) -> Column:
-    """A struct of md5 keys: ``exact``, ``norm`` (folded) and ``masked`` (digits as 0 too).
+def leak_keys(text: Column, full_nfkc: Column | None = None, levels: tuple[str, ...] = ("exact", "norm", "masked")) -> Column:
+    """A struct of md5 keys, of the levels asked for: ``exact``, ``norm`` (folded) and ``masked`` (digits as 0 too).
 
     ``full_nfkc``: the text in NFKC where it may have characters that NFKC changes; see ``operators.leakage``.
     """
     norm = folded(text if full_nfkc is None else full_nfkc)
-    return F.struct(F.md5(text).alias("exact"), F.md5(norm).alias("norm"), F.md5(F.regexp_replace(norm, r"(?U)\d", "0")).alias("masked"))
+    keys = {"exact": text, "norm": norm, "masked": F.regexp_replace(norm, r"(?U)\d", "0")}
+    return F.struct(*(F.md5(keys[x]).alias(x) for x in levels))
 
 
 def char_grams(text: Column, n: int = 12, step: int = 3) -> Column:

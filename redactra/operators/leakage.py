@@ -10,18 +10,19 @@ from ..functions.text import leak_keys, nfkc
 LEVELS = ("exact", "norm", "masked")
 
 
-def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with ``keys``. Only texts with characters beyond ASCII pass through the NFKC function."""
-    plain = ~F.col(text_col).rlike(r"[^\x00-\x7F]") | F.col(text_col).isNull()
-    ascii_rows = df.filter(plain).withColumn("keys", leak_keys(F.col(text_col)))
-    others = df.filter(~plain).withColumn("_full", nfkc(text_col)).withColumn("keys", leak_keys(F.col(text_col), F.col("_full"))).drop("_full")
-    return ascii_rows.unionByName(others)
+def keyed(df: DataFrame, text_col: str = "text", levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """``df`` with ``keys`` of the levels asked for, in one pass in the JVM."""
+    if set(levels) <= {"exact"}:
+        return df.withColumn("keys", leak_keys(F.col(text_col), levels=levels))
+    # A projection of its own: each text is brought into NFKC once.
+    full = df.withColumn("_full", nfkc(F.col(text_col)))
+    return full.withColumn("keys", leak_keys(F.col(text_col), F.col("_full"), levels)).drop("_full")
 
 
 def marked(train: DataFrame, test: DataFrame, text_col: str = "text", levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """Test rows with ``leak_`` columns of the levels asked for; distinct training keys are joined, a level at a time."""
-    keys = keyed(train.select(text_col), text_col).select("keys.*")
-    out = keyed(test, text_col)
+    keys = keyed(train.select(text_col), text_col, levels).select("keys.*")
+    out = keyed(test, text_col, levels)
     for level in levels:
         known = keys.select(F.col(level).alias("_k")).distinct().withColumn("_hit", F.lit(True))
         out = out.join(known, F.col(f"keys.{level}") == F.col("_k"), "left").withColumn(f"leak_{level}", F.coalesce("_hit", F.lit(False))).drop("_k", "_hit")

@@ -259,6 +259,15 @@ def test_leakage(spark):
     assert {k: v.count() for k, v in leakage.splits(rows).items()} == {"dedup": 4, "dupsonly": 1, "maskdedup": 2, "maskdupsonly": 3}
 
 
+def test_leakage_stays_in_the_jvm(spark):
+    """No batch of whole texts goes to Python, and only the keys asked for are computed."""
+    df = spark.createDataFrame([("ﬁ ｂ",)], "text string")
+    for levels in ("exact",), ("norm",), leakage.LEVELS:
+        plan = leakage.marked(df, df, levels=levels)._jdf.queryExecution().optimizedPlan().toString()
+        assert "nfkc(" not in plan and "Python" not in plan
+        assert leakage.keyed(df, levels=levels).select("keys.*").columns == list(levels)
+
+
 @pytest.mark.parametrize("variant", list(stress.VARIANTS))
 def test_perturb(spark, variant):
     import re
