@@ -54,7 +54,7 @@ class Detector(Protocol):
 
 
 def _found(text: Column, label: str, validate: bool) -> Column:
-    """(priority, -length, start, end, label, score) of a rule's matches."""
+    """(priority, -length, start, end, label, score, ok) of a rule's matches; ``ok``: whether the rule's check passes, if it is asked for."""
     order = list(RULES).index(label)
     check = CHECKS.get(label) if validate else None
 
@@ -63,19 +63,35 @@ def _found(text: Column, label: str, validate: bool) -> Column:
         ok = check(v) if check else F.lit(True)
         return F.struct(F.lit(order).alias("priority"), (-F.length(v)).alias("short"), m["start"].alias("start"), (m["start"] + F.length(v)).alias("end"), F.lit(label).alias("label"), F.lit(1.0).alias("score"), ok.alias("ok"))
 
-    return F.filter(F.transform(S.matches(text, f"(?U){RULES[label]}"), one), lambda x: x["ok"])
+    return F.transform(S.matches(text, f"(?U){RULES[label]}"), one)
 
 
-def rule_spans(text: Column, validate: bool = True, rules: list[str] | None = None) -> Column:
-    """Spans of all rules; of overlapping ones the earlier rule wins, then the longer match, then the first."""
+def _all_found(text: Column, validate: bool, rules: list[str] | None) -> Column:
     none = F.array().cast("array<struct<priority:int,short:int,start:int,end:int,label:string,score:double,ok:boolean>>")
     found = F.concat(*(F.when(text.rlike(gate(label)), _found(text, label, validate)).otherwise(none) for label in rules or RULES))
-    found = F.when(text.rlike(HINT), found).otherwise(none)
+    return F.when(text.rlike(HINT), found).otherwise(none)
+
+
+def _chosen(text: Column, found: Column) -> Column:
     # Structs sort by their fields: priority, length, start.
     ranked = F.transform(F.sort_array(found), lambda x: S.span(x["start"], x["end"], x["label"], x["score"]))
     return F.when(text.isNotNull(), S.resolve(ranked))
 
 
+def rule_spans(text: Column, validate: bool = True, rules: list[str] | None = None) -> Column:
+    """Spans of all rules; of overlapping ones the earlier rule wins, then the longer match, then the first."""
+    found = _all_found(text, validate, rules)
+    return _chosen(text, F.filter(found, lambda x: x["ok"]) if validate else found)
+
+
+def both_spans(df: DataFrame, checked_col: str, unchecked_col: str, rules: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """``df`` with ``rule_spans`` with and without validation; patterns go over a text once for both."""
+    text, found = F.col(text_col), F.col("_found")
+    # A projection of its own, so that matches are looked for once.
+    out = df.withColumn("_found", _all_found(text, True, rules))
+    return out.withColumns({checked_col: _chosen(text, F.filter(found, lambda x: x["ok"])), unchecked_col: _chosen(text, found)}).drop("_found")
+
+
 class RuleDetector:
     def __init__(self, validate: bool = True, rules: list[str] | None = None):
         self.validate, self.rules = validate, rules

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -35,12 +35,14 @@ def comparison(labels: DataFrame, dataset: str, models: list[str], metric: str =
     """
     here = labels.filter((F.col("dataset") == dataset) & F.col("model").isin(models))
     order = F.array_position(F.array(*map(F.lit, models)), F.col("model"))
-    support = here.groupBy("label").agg(F.min_by("support", order).alias("support"))
-    cells = here.groupBy("label").pivot("model", models).agg(F.first(metric))
-    ran = {r[0] for r in here.select("model").distinct().collect()}  # at most len(models) rows
+    # One pass over the results, which may be costly: support, a cell and a mark that it ran for each model.
+    cells = [F.struct(F.first(F.when(F.col("model") == m, F.col(metric)), ignorenulls=True).alias("v"), F.max(F.col("model") == m).alias("ran")).alias(f"_{i}") for i, m in enumerate(models)]
+    each = here.groupBy("label").agg(F.min_by("support", order).alias("support"), *cells)
+    all_labels = Window.partitionBy(F.lit(0))  # a row for each label
+    each = each.withColumns({f"_ran_{i}": F.max(f"_{i}.ran").over(all_labels) for i in range(len(models))})
     every = labels.sparkSession.createDataFrame([(x, i) for i, x in enumerate(L.LABELS)], "label string, ord int")
-    out = every.join(F.broadcast(support), "label", "left").join(F.broadcast(cells), "label", "left").fillna(0, ["support"])
-    fill = [F.when(F.col("support") > 0, F.coalesce(m, F.lit(0.0))).otherwise(F.col(m)).alias(m) if m in ran else F.lit(None).cast("double").alias(m) for m in models]
+    out = every.join(F.broadcast(each), "label", "left").fillna(0, ["support"])
+    fill = [F.when(F.col(f"_ran_{i}"), F.when(F.col("support") > 0, F.coalesce(f"_{i}.v", F.lit(0.0))).otherwise(F.col(f"_{i}.v"))).alias(m) for i, m in enumerate(models)]
     return out.select("label", "support", *fill, "ord").orderBy(F.desc("support"), "ord").drop("ord")
 
 
@@ -51,8 +53,10 @@ def without_support(table: DataFrame) -> DataFrame:
 def drops(labels: DataFrame, dataset: str, before: str, after: str, metric: str = "r", least: float = 0.05, most: int = 3) -> DataFrame:
     """(label, delta in points) of the labels that lose more than ``least`` points, worst first: a top-k report."""
     here = labels.filter(F.col("dataset") == dataset)
-    a, b = (here.filter(F.col("model") == m).select("label", F.col(metric).alias(k)) for m, k in ((before, "a"), (after, "b")))
-    delta = a.join(b, "label").select("label", ((F.col("b") - F.col("a")) * 100).alias("delta"))
+    # Both models' figures of a label meet in one group, in one pass over the results; a figure that is null gives no delta.
+    figures = [F.collect_list(F.when(F.col("model") == m, F.col(metric))).alias(k) for m, k in ((before, "a"), (after, "b"))]
+    both = here.filter(F.col("label").isNotNull()).groupBy("label").agg(*figures).select("label", F.explode("a").alias("a"), "b").select("label", "a", F.explode("b").alias("b"))
+    delta = both.select("label", ((F.col("b") - F.col("a")) * 100).alias("delta"))
     return delta.filter(F.col("delta") < -least).orderBy("delta", "label").limit(most)
 
 

@@ -41,10 +41,14 @@ def partial_hits(gold: Column, found: Column) -> Column:
     return F.when(F.size(found) == 0, start).otherwise(F.aggregate(gold, start, step))
 
 
-def counts(df: DataFrame, gold: str = "gold", found: str = "spans") -> DataFrame:
-    """(label, tp, fp, fn, ptp, pfp, pfn) over all rows; null arrays are empty."""
+def counts(df: DataFrame, gold: str = "gold", found: str = "spans", by: list[str] | None = None, rows_col: str | None = None) -> DataFrame:
+    """(by..., label, tp, fp, fn, ptp, pfp, pfn) over all rows; null arrays are empty.
+
+    ``rows_col`` adds the number of rows, all of it at a null label.
+    """
+    by = by or []
     g, p = F.coalesce(gold, S.empty()), F.coalesce(found, S.empty())
-    rows = df.select(g.alias("g"), p.alias("p")).select("g", "p", _keys(F.col("g")).alias("gk"), _keys(F.col("p")).alias("pk"), partial_hits(F.col("g"), F.col("p")).alias("used"))
+    rows = df.select(*by, g.alias("g"), p.alias("p")).select(*by, "g", "p", _keys(F.col("g")).alias("gk"), _keys(F.col("p")).alias("pk"), partial_hits(F.col("g"), F.col("p")).alias("used"))
     kinds = {
         "tp": F.transform(F.array_intersect("gk", "pk"), lambda s: s["label"]),
         "fp": F.transform(F.array_except("pk", "gk"), lambda s: s["label"]),
@@ -54,26 +58,39 @@ def counts(df: DataFrame, gold: str = "gold", found: str = "spans") -> DataFrame
         "g_all": F.transform("g", lambda s: s["label"]),
     }
     mark = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x.alias("label"))
-    marked = F.concat(*(F.transform(v, mark(k)) for k, v in kinds.items()))
-    each = rows.select(F.explode(marked).alias("m")).groupBy(F.col("m.label").alias("label"))
-    out = each.agg(*(F.count_if(F.col("m.kind") == k).alias(k) for k in kinds))
+    marked = F.concat(*(F.transform(v, mark(k)) for k, v in kinds.items()), *([F.array(mark("row")(F.lit(None).cast("string")))] if rows_col else []))
+    each = rows.select(*by, F.explode(marked).alias("m")).groupBy(*by, F.col("m.label").alias("label"))
+    out = each.agg(*(F.count_if(F.col("m.kind") == k).alias(k) for k in kinds), *([F.count_if(F.col("m.kind") == "row").alias(rows_col)] if rows_col else []))
     # A gold span or a found one that takes no part in a partial match is a miss or a false alarm of its label.
-    return out.select("label", "tp", "fp", "fn", "ptp", (F.col("p_all") - F.col("ptp")).alias("pfp"), (F.col("g_all") - F.col("ptp")).alias("pfn"))
+    return out.select(*by, "label", "tp", "fp", "fn", "ptp", (F.col("p_all") - F.col("ptp")).alias("pfp"), (F.col("g_all") - F.col("ptp")).alias("pfn"), *([rows_col] if rows_col else []))
+
+
+def _figures() -> list[Column]:
+    """p, r, f1 and partial_f1 from columns of counts."""
+    exact, part = prf(F.col("tp"), F.col("fp"), F.col("fn")), prf(F.col("ptp"), F.col("pfp"), F.col("pfn"))
+    return [*(v.alias(k) for k, v in exact.items()), part["f1"].alias("partial_f1")]
+
+
+def _support() -> Column:
+    return (F.col("tp") + F.col("fn")).alias("support")
+
+
+def _occurs(labels: list[str] | None = None) -> Column:
+    return F.col("label").isin(labels or L.LABELS) & (F.col("tp") + F.col("fp") + F.col("fn") > 0)
+
+
+def _totals() -> list[Column]:
+    return [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("tp", "fp", "fn", "ptp", "pfp", "pfn")]
 
 
 def per_label(c: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """(label, support, p, r, f1, partial_f1) of the schema's labels that occur."""
-    some = c.filter(F.col("label").isin(labels or L.LABELS)).filter(F.col("tp") + F.col("fp") + F.col("fn") > 0)
-    exact, part = prf(F.col("tp"), F.col("fp"), F.col("fn")), prf(F.col("ptp"), F.col("pfp"), F.col("pfn"))
-    return some.select("label", (F.col("tp") + F.col("fn")).alias("support"), *(v.alias(k) for k, v in exact.items()), part["f1"].alias("partial_f1"))
+    return c.filter(_occurs(labels)).select("label", _support(), *_figures())
 
 
 def micro(c: DataFrame) -> DataFrame:
     """One row over all labels, those outside the schema included."""
-    names = ("tp", "fp", "fn", "ptp", "pfp", "pfn")
-    total = c.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
-    exact, part = prf(F.col("tp"), F.col("fp"), F.col("fn")), prf(F.col("ptp"), F.col("pfp"), F.col("pfn"))
-    return total.select(*(v.alias(k) for k, v in exact.items()), part["f1"].alias("partial_f1"), (F.col("tp") + F.col("fn")).alias("support"))
+    return c.agg(*_totals()).select(*_figures(), _support())
 
 
 def macro(labels: DataFrame, min_support: int = 1) -> DataFrame:
@@ -113,12 +130,12 @@ def tally(df: DataFrame, gold: str = "gold", found: str = "spans") -> DataFrame:
     return df.withColumns({"exact": exact, "partial": near, "missed": F.size(g) - exact - near, "false_alarms": F.size(F.filter(p, lambda b: ~F.exists(g, lambda a: touch(a, b))))})
 
 
-def evaluate(df: DataFrame, tag: str, gold: str = "gold", found: str = "spans", seconds: float | None = None) -> DataFrame:
-    """One row: micro, per_entity as a map, n_rows, sec, ms_per_row, tag."""
-    c = counts(df, gold, found)
-    entities = per_label(c).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", F.struct("support", "p", "r", "f1", "partial_f1"))))).alias("per_entity"))
-    one = micro(c).select(F.struct("*").alias("micro"))
-    n = df.agg(F.count("*").alias("n_rows"))
-    out = one.crossJoin(entities).crossJoin(n)  # one row each
+def evaluate(df: DataFrame, tag: str, gold: str = "gold", found: str = "spans", seconds: float | None = None, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each ``by``: by..., micro, per_entity as a map, n_rows, sec, ms_per_row, tag. Rows are gone over once for all."""
+    by = by or []
+    c = counts(df, gold, found, by, "n_rows")
+    label = F.struct("label", F.struct(_support(), *_figures()))
+    entities = F.map_from_entries(F.array_sort(F.collect_list(F.when(_occurs(), label)))).alias("per_entity")
+    out = c.groupBy(*by).agg(*_totals(), entities, F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
     sec = F.lit(seconds).cast("double")
-    return out.select("micro", "per_entity", "n_rows", sec.alias("sec"), F.try_divide(sec * 1000, F.col("n_rows")).alias("ms_per_row"), F.lit(tag).alias("tag"))
+    return out.select(*by, F.struct(*_figures(), _support()).alias("micro"), "per_entity", "n_rows", sec.alias("sec"), F.try_divide(sec * 1000, F.col("n_rows")).alias("ms_per_row"), F.lit(tag).alias("tag"))

@@ -17,7 +17,7 @@ from ..functions import spans as S
 from ..functions import text as T
 from ..functions import validators as V
 from ..operators import dataset, decode, leakage, reports, scoring, stress, synth
-from ..operators.detect import RULES, counts_by_label, detect, entities, rule_spans
+from ..operators.detect import RULES, both_spans, counts_by_label, detect, entities, rule_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -271,8 +271,7 @@ def windows_512_128(spark, sf_dir):
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked spans as gold, unchecked ones as found."""
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", rule_spans(text, True, LIVE).alias("gold"), rule_spans(text, False, LIVE).alias("spans"))
+    return both_spans(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "gold", "spans", LIVE)
 
 
 _SCORE = f"""WITH {HITS}, tp AS (SELECT label, count(*) AS tp FROM hits GROUP BY label),
@@ -399,12 +398,10 @@ def label_join(spark, sf_dir):
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models' results by label: checked and unchecked rules against unchecked ones."""
-    docs, text = table(spark, sf_dir, "documents"), F.col("text")
-    out = []
-    for model, validate in (("checked", True), ("unchecked", False)):
-        rows = docs.select(rule_spans(text, False, LIVE).alias("gold"), rule_spans(text, validate, LIVE).alias("spans"))
-        out.append(scoring.evaluate(rows, "all").withColumns({"model": F.lit(model), "dataset": F.lit("documents")}))
-    return out[0].unionByName(out[1])
+    rows = both_spans(table(spark, sf_dir, "documents").select("text"), "checked", "unchecked", LIVE)
+    each = F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("spans")) for m in ("checked", "unchecked")))
+    rows = rows.select(F.col("unchecked").alias("gold"), F.explode(each).alias("m")).select("gold", "m.*")
+    return scoring.evaluate(rows, "all", by=["model"]).withColumn("dataset", F.lit("documents"))
 
 
 @query(

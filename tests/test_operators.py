@@ -12,6 +12,7 @@ from redactra.functions import spans as S
 from redactra.functions import validators as V
 from redactra.operators import dataset, decode, leakage, reports, scoring, stress, synth
 from redactra.operators import detect as D
+from redactra.plans import queries
 
 GOLD = dataset.GOLD
 
@@ -399,6 +400,45 @@ def test_templates(spark):
     assert [r["text"] for r in synth.parsed_templates(raw).collect()] == ["{PERSON} 님"]
 
 
+def test_both_spans_equal_each(spark):
+    """A text with cards that pass and fail their checksum, and others that compete with them."""
+    rows = [("card 4111 1111 1111 1111, 4111 1111 1111 1112; a@b.org 1.2.3.4",), ("010-1234-5678 1234 5678 1234 5678 900101-1234567",), ("none",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "text string")
+    for rules in (None, ["EMAIL", "CARD_NUMBER"]):
+        got = D.both_spans(df, "c", "u", rules).withColumns({"own_c": D.rule_spans(F.col("text"), True, rules), "own_u": D.rule_spans(F.col("text"), False, rules)}).collect()
+        assert all(r["c"] == r["own_c"] and r["u"] == r["own_u"] for r in got) and any(r["c"] != r["u"] for r in got)
+
+
+def test_evaluation_by_group(spark):
+    rows = [(str(i % 2), *x) for i, x in enumerate(pairs(60))] + [("bare", "x", "x", None, [])]
+    df = spark.createDataFrame(rows, f"model string, id string, text string, gold {S.SPANS}, spans {S.SPANS}")
+    got = {r["model"]: r.asDict() for r in scoring.evaluate(df, "t", seconds=1.0, by=["model"]).collect()}
+    assert set(got) == {"0", "1", "bare"} and got["bare"]["n_rows"] == 1 and got["bare"]["per_entity"] == {}
+    for model, r in got.items():
+        assert r == {"model": model, **scoring.evaluate(df.filter(F.col("model") == model), "t", seconds=1.0).first().asDict()}
+    none = scoring.evaluate(df.limit(0), "t").first()
+    assert (none["n_rows"], none["per_entity"], none["micro"]["support"]) == (0, {}, 0)
+
+
+@pytest.mark.parametrize("name", ["pivot_report", "topk_drops", "score_evaluate"])
+def test_reports_read_texts_once(spark, sf_dir, name):
+    """One scan of the documents and one pass of each rule's pattern, for all models, figures and columns."""
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 1 and all(f"(?U){D.RULES[x]}, 0)" in plan for x in queries.LIVE)
+    assert plan.count("regexp_extract_all(") == len(queries.LIVE)
+
+
+def test_comparison_and_drops_run_nothing_and_keep_doubles(spark):
+    """Labels beyond the schema count as a run; a label that two runs of a model have gives all their differences."""
+    rows = [("a", "d", "PERSON", 5, 0.9), ("a", "d", "CVC", 0, None), ("b", "d", "OTHER", 1, 0.5), ("a", "e", "PORT", 1, 1.0), ("b", "d", "CVC", 4, 0.2), ("c", "d", "CVC", 4, 0.1), ("c", "d", "CVC", 4, 0.0), ("c", "d", "CVC", 4, None)]
+    failing = F.raise_error(F.lit("run")).cast("string")
+    labels = spark.createDataFrame(rows, "model string, dataset string, label string, support long, f1 double")
+    assert reports.comparison(labels.withColumn("model", failing), "d", ["b", "a", "z"]).columns == ["label", "support", "b", "a", "z"]
+    t = {r["label"]: tuple(r)[1:] for r in reports.comparison(labels, "d", ["b", "a", "z"]).collect()}
+    assert t["PERSON"] == (5, 0.0, 0.9, None) and t["CVC"] == (4, 0.2, 0.0, None) and t["PORT"] == (0, None, None, None) and len(t) == 32
+    assert sorted(round(r["delta"]) for r in reports.drops(labels, "d", "b", "c", "f1").collect()) == [-20, -10]
+
+
 def result(spark, model, ds, tag, f1, per):
     row = ((f1, f1, f1, f1, None), {k: (n, v, v, v, v) for k, (n, v) in per.items()}, 10, 1.0, 100.0, tag, model, ds)
     return spark.createDataFrame([row], reports.RESULT)
